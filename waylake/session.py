@@ -41,3 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="waylake-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in enough partitions to occupy every core, for work that is heavy for its bytes.
+
+    Small files make few input splits; only then are rows dealt out again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
