@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waylake.llm import leakage, mixing, quality, residue
+from waylake.llm import encodings, leakage, mixing, quality, residue
 from waylake.session import table
 
 
@@ -30,6 +31,22 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix_report(mixing.draw_mixes(mixing.sized_documents(table(spark, root, "documents")), targets), targets)
 
 
+def _garblable(spark: SparkSession, root: str) -> DataFrame:
+    pages = table(spark, root, "guide_page").select(F.lit("guide").alias("kind"), F.col("guide_id").alias("record_key"), F.col("markdown").alias("text"))
+    centres = table(spark, root, "cn_legal_city_centers").select(F.lit("center").alias("kind"), F.col("administrative_code").alias("record_key"), F.col("name").alias("text"))
+    return pages.unionByName(centres)
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pages and centres that hold text decoded with a wrong character encoding."""
+    return encodings.garbled_records(_garblable(spark, root)).withColumnRenamed("kind", "garbled_in")
+
+
+def p1_restored(spark: SparkSession, root: str) -> DataFrame:
+    """The garbled texts and what can be restored of them."""
+    return encodings.restored_records(_garblable(spark, root)).withColumnRenamed("kind", "garbled_in")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Pages in which residue stands in place of content."""
     return residue.residue_pages(table(spark, root, "guide_page"))
@@ -53,6 +70,8 @@ def p9_statistics(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_restored": p1_restored,
     "p4_found": p4_found,
     "p4_kept": p4_kept,
     "p9_found": p9_found,

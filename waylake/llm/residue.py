@@ -331,7 +331,8 @@ def labelled_segments(segments: DataFrame, trusted: list[str], max_rounds: int =
     nothing new is reached.
     """
     spark = segments.sparkSession
-    seeds = spark.createDataFrame(_segment_frame(sorted({normal_segment(t) for t in trusted})), SEGMENT)
+    frame = _segment_frame(sorted({normal_segment(t) for t in trusted}))
+    seeds = spark.createDataFrame([(int(i), s, int(h), [int(k) for k in keys], bool(r)) for i, s, h, keys, r in frame.itertuples(index=False)], SEGMENT)
     frontier = cut(seeds.unionByName(segments.where("residue")).dropDuplicates(["seg_id"]))
     done = frontier
     tables = in_tables(segments)
