@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waylake.llm import encodings, leakage, mixing, quality, residue
+from waylake.llm import encodings, leakage, matching, mixing, quality, residue
 from waylake.session import table
 
 
+def p6_matches(spark: SparkSession, root: str) -> DataFrame:
+    """Every candidate pair of queue entry and centre, with its confidence."""
+    centres = table(spark, root, "cn_legal_city_centers")
+    names = centres.select(F.lit("center").alias("kind"), F.col("administrative_code").alias("record_key"), F.col("name").alias("text"))
+    return matching.match_entries(table(spark, root, "place_queue"), table(spark, root, "cn_inventory"), centres, table(spark, root, "admin1_crosswalk"), table(spark, root, "hanzi_reading"), encodings.restored_records(names))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Queue entries that denote the city or county of a centre."""
+    return p6_matches(spark, root).where("confidence >= 0.5").select("administrative_code", "geonameid").distinct()
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that share a run of at least 50 letters and digits with a held-out item."""
     return leakage.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_item")).select("doc_id", "item_id").distinct()
@@ -76,6 +88,8 @@ QUERIES = {
     "p4_kept": p4_kept,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
+    "p6_found": p6_found,
+    "p6_matches": p6_matches,
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
     "p8_draws": p8_draws,
