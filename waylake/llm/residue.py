@@ -321,7 +321,11 @@ def corpus_segments(pages: DataFrame) -> DataFrame:
 
 def in_tables(segments: DataFrame) -> DataFrame:
     """Each segment once for each table, with its key there."""
-    return segments.select("seg_id", "segment", "simhash", F.posexplode("keys").alias("table", "key"))
+    return segments.select("seg_id", "simhash", F.posexplode("keys").alias("table", "key"))
+
+
+#: Up to so many newly labelled segments go to every task as keys (some 10 MB); more are joined by a shuffle.
+MOST_SENT = 20_000
 
 
 def labelled_segments(segments: DataFrame, trusted: list[str], max_rounds: int = 50) -> DataFrame:
@@ -346,13 +350,18 @@ def labelled_segments(segments: DataFrame, trusted: list[str], max_rounds: int =
             yield pdf.loc[keep, ["seg_id"]]
 
     for _ in range(max_rounds):
-        near = in_tables(frontier).select("table", "key", F.col("segment").alias("near"), F.col("simhash").alias("near_hash"))
+        number = frontier.count()
+        if not number:
+            break
+        near = in_tables(frontier).select("table", "key", F.col("seg_id").alias("near_id"), F.col("simhash").alias("near_hash"))
+        near = F.broadcast(near) if number <= MOST_SENT else near
         pairs = tables.join(near, ["table", "key"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("near_hash"))) <= MAX_HAMMING)
-        pairs = pairs.join(done.select("seg_id"), "seg_id", "left_anti").select("seg_id", "segment", "near").distinct()
+        pairs = pairs.join(done.select("seg_id"), "seg_id", "left_anti").select("seg_id", "near_id").distinct()
+        # Texts are fetched for candidates only.
+        texts_near = frontier.select(F.col("seg_id").alias("near_id"), F.col("segment").alias("near"))
+        pairs = segments.select("seg_id", "segment").join(pairs.join(texts_near, "near_id"), "seg_id")
         reached = pairs.mapInPandas(verify, "seg_id bigint").distinct()
         frontier = cut(segments.join(reached, "seg_id", "left_semi"))
-        if frontier.isEmpty():
-            break
         done = cut(done.unionByName(frontier))
     return done.select("seg_id")
 
