@@ -28,9 +28,9 @@ def coordinate(c: Column, most: float) -> Column:
 
 
 def located(rows: DataFrame, key: str, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
-    """Distinct id, lon, lat of the rows that have a key and usable coordinates."""
+    """id, lon, lat of the rows that have a key and usable coordinates."""
     out = rows.select(F.col(key).alias("id"), coordinate(F.col(lon), 180.0).alias("lon"), coordinate(F.col(lat), 90.0).alias("lat"))
-    return out.where("id is not null and lon is not null and lat is not null").distinct()
+    return out.where("id is not null and lon is not null and lat is not null")
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -51,25 +51,27 @@ def _cells_in(band: Column, step: float) -> Column:
     return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / step)).cast("long")
 
 
-def within_distance(points: DataFrame, centres: DataFrame, km: float, salts: int = 16) -> DataFrame:
+def within_distance(points: DataFrame, centres: DataFrame, km: float, salts: int = 4) -> DataFrame:
     """point_id, centre_id, distance_km of each point and centre (both id, lon, lat) at most ``km`` apart.
 
-    All pairs that qualify come out, across the antimeridian and at the poles too; repeated rows of one place count
-    once if they were made distinct before (see ``located``). Null coordinates match nothing; an empty side gives
+    All pairs that qualify come out, across the antimeridian and at the poles too; repeated rows give repeated
+    pairs. Null coordinates match nothing; an empty side gives
     an empty result.
     """
     reach = math.degrees(km / EARTH_KM) * (1 + 1e-9)
-    step = reach
+    step = 2 * reach  # a circle meets two bands, and in each two cells, on average
     p = points.select(F.col("id").alias("point_id"), F.col("lon").alias("plon"), F.col("lat").alias("plat"), _band(F.col("lat"), step).alias("band"))
     p = p.withColumn("n", _cells_in(F.col("band"), step))
     p = p.withColumn("cell", F.pmod(F.floor((F.col("plon") + 180.0) / 360.0 * F.col("n")), F.col("n"))).withColumn("salt", F.pmod(F.xxhash64("point_id"), F.lit(salts)))
     c = centres.select(F.col("id").alias("centre_id"), F.col("lon").alias("clon"), F.col("lat").alias("clat"))
     c = c.withColumn("band", F.explode(F.sequence(_band(F.greatest(F.col("clat") - reach, F.lit(-90.0)), step), _band(F.least(F.col("clat") + reach, F.lit(90.0)), step))))
     c = c.withColumn("n", _cells_in(F.col("band"), step))
-    # A cell may be slightly narrower than the reach seen from another latitude: one more on either side is looked at.
-    here = F.floor((F.col("clon") + 180.0) / 360.0 * F.col("n"))
-    around = F.transform(F.sequence(here - 2, here + 2), lambda x: F.pmod(x, F.col("n")))
-    c = c.withColumn("cell", F.explode(F.array_distinct(around))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    # How far the circle reaches in longitude; a circle that holds a pole has all longitudes.
+    sideways = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(reach))) / F.cos(F.radians("clat"))))) * (1 + 1e-9)
+    sideways = F.when(F.abs("clat") + reach >= 90.0, F.lit(180.0)).otherwise(sideways)
+    first = F.floor((F.col("clon") - sideways + 180.0) / 360.0 * F.col("n"))
+    last = F.least(F.floor((F.col("clon") + sideways + 180.0) / 360.0 * F.col("n")), first + F.col("n") - 1)
+    c = c.withColumn("cell", F.explode(F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.col("n"))))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     met = p.join(c.drop("n"), ["band", "cell", "salt"])
     met = met.withColumn("distance_km", haversine_km(F.col("plon"), F.col("plat"), F.col("clon"), F.col("clat")))
     return met.where(F.col("distance_km") <= km).select("point_id", "centre_id", "distance_km")

@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Places at most 2 km from a centre, and survey regions that contain a place."""
     places = spatial.located(table(spark, root, "cn_inventory"), "geonameid")
-    centres = spatial.located(table(spark, root, "cn_legal_city_centers"), "administrative_code")
+    centres = spatial.located(table(spark, root, "cn_legal_city_centers"), "administrative_code").distinct()
     near = spatial.within_distance(places, centres, NEAR_KM).select(F.lit("near").alias("match_kind"), F.col("point_id").alias("geonameid"), F.col("centre_id").alias("code"))
     regions = table(spark, root, "survey_region").select(F.col("region_code").alias("code"), "boundary")
     within = spatial.containing_regions(places, regions).select(F.lit("within").alias("match_kind"), F.col("point_id").alias("geonameid"), "code")
