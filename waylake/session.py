@@ -43,10 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, tasks_per_core: int = 1) -> DataFrame:
     """``df`` in enough partitions to occupy every core, for work that is heavy for its bytes.
 
-    Small files make few input splits; only then are rows dealt out again.
+    Small files make few input splits, and unions uneven ones; only where there are fewer than ``tasks_per_core``
+    for each core are rows dealt out again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores * 2 * tasks_per_core) if df.rdd.getNumPartitions() < cores * tasks_per_core else df
