@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from waylake.plans import feeds, inventory
+from waylake.plans import documents, feeds, inventory, places
 
-MODULES = [feeds, inventory]
+MODULES = [feeds, inventory, documents, places]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
