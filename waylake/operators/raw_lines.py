@@ -23,9 +23,9 @@ GAZETTEER_FIELDS = (
 ).split()
 REPORT_FIELDS = "snapshot_date scope filename row_count sha256 note".split()
 
-_CSV_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
-#: Lines whose quotes each enclose a whole field; inside one, a quote is doubled.
-WELL_QUOTED = rf"\A{_CSV_FIELD}(?:,{_CSV_FIELD})*\z"
+_BLOCK_FIELD = r'(?:"(?:[^"\r]|"")*"|[^",\r\n]*)'
+#: Well-quoted lines that the block parser reads as they are: no line end but inside quotes, and not empty.
+FIT_FOR_BLOCKS = rf"\A{_BLOCK_FIELD}(?:,{_BLOCK_FIELD})+\z"
 DIGITS = r"\A[0-9]+\z"
 DIGITS_OR_EMPTY = r"\A[0-9]*\z"
 DECIMAL = r"\A-?[0-9]+(?:\.[0-9]+)?\z"
@@ -168,11 +168,13 @@ def parse_lines(lines: list[str], fmt: LineFormat) -> tuple[list[str | None], li
     reasons: list[str | None] = [None] * len(lines)
     blocks: list[tuple[list[int], pa.Table]] = []
     singles: list[tuple[int, list[str]]] = []
-    quoted_ok = _matches(pa.array(lines, pa.string()), WELL_QUOTED).to_pylist() if fmt.quoted else None
+    column = pa.array(lines, pa.string())
+    # The block parser takes a carriage return, or a line feed outside quotes, for a line's end, in a value too.
+    fit = (_matches(column, FIT_FOR_BLOCKS) if fmt.quoted else pc.invert(_matches(column, r"[\r\n]|\A\z"))).to_pylist()
     todo = [(0, len(lines))] if lines else []
     while todo:
         lo, hi = todo.pop()
-        t = _read_block(lines[lo:hi], fmt) if quoted_ok is None or all(quoted_ok[lo:hi]) else None
+        t = _read_block(lines[lo:hi], fmt) if all(fit[lo:hi]) else None
         if t is None and hi - lo > 1:
             mid = (lo + hi) // 2
             todo += [(mid, hi), (lo, mid)]
