@@ -151,6 +151,13 @@ _TOKEN = re.compile(r"[㐀-鿿豈-﫿]|[^\W_㐀-鿿豈-﫿]+")
 _DIGITS = re.compile(r"\d+")
 _FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})")
 
+def small_frames(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The frames in pieces, so that what is made of one piece stays small."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows]
+
+
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits of a SimHash, the number of tables, bits of each table's key (chosen at random), and the greatest distance of a link.
@@ -309,7 +316,7 @@ def corpus_segments(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # a task's repeated segments need not be sent twice
-        for pdf in batches:
+        for pdf in small_frames(batches):
             distinct = [s for s in {s for m in pdf["markdown"] for s in page_segments(m)[0]} if segment_id(s) not in seen]
             if len(seen) < 2_000_000:
                 seen.update(map(segment_id, distinct))
@@ -372,11 +379,11 @@ def residue_pages(pages: DataFrame, key: str = "guide_id", trusted: list[str] =
     Null pages and null keys are no cases; an empty table gives an empty result. Repeated rows count once.
     """
     pages = pages.select(F.col(key).cast("string").alias("page_key"), F.col("markdown").cast("string")).where("page_key is not null and markdown is not null")
-    pages = spread(pages)
+    pages = spread(pages, 3)
     labels = labelled_segments(cut(corpus_segments(pages)), trusted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in small_frames(batches):
             keys: list[str] = []
             ids: list[int | None] = []
             for page, markdown in zip(pdf["page_key"], pdf["markdown"]):
