@@ -161,7 +161,7 @@ def small_frames(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits of a SimHash, the number of tables, bits of each table's key (chosen at random), and the greatest distance of a link.
-BITS, TABLES, KEY_BITS, MAX_HAMMING = 64, 12, 16, 16
+BITS, TABLES, KEY_BITS, MAX_HAMMING = 64, 20, 12, 18
 _rng = np.random.default_rng(7)
 _CHOSEN = [list(range(t * KEY_BITS, (t + 1) * KEY_BITS)) if t < BITS // KEY_BITS else sorted(int(b) for b in _rng.permutation(BITS)[:KEY_BITS]) for t in range(TABLES)]
 
@@ -305,7 +305,7 @@ def table_keys(hashes: np.ndarray) -> list[np.ndarray]:
 
 def _segment_frame(segments: list[str]) -> pd.DataFrame:
     hashes = simhashes(segments)
-    return pd.DataFrame({"seg_id": [segment_id(s) for s in segments], "segment": segments, "simhash": hashes, "keys": table_keys(hashes), "residue": [is_residue(s) for s in segments]})
+    return pd.DataFrame({"seg_id": pd.Series([segment_id(s) for s in segments], dtype="int64"), "segment": pd.Series(segments, dtype=object), "simhash": hashes, "keys": pd.Series(table_keys(hashes), dtype=object), "residue": pd.Series([is_residue(s) for s in segments], dtype=bool)})
 
 
 SEGMENT = "seg_id bigint, segment string, simhash bigint, keys array<int>, residue boolean"
