@@ -59,7 +59,28 @@ N_CLASSES = len(CLASSES) + 1
 
 _WORD = re.compile(r"[^\W\d_㐀-鿿豈-﫿]+|[㐀-鿿豈-﫿]", re.UNICODE)
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
-_LATIN_PAIR = re.compile(r"(?=[A-Za-z]{2})(?=([b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{2})?)")
+class _Sounds(dict):
+    """Character codes to c (consonant), v (vowel) or a blank, of the Latin alphabet without diacritics."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code).lower()
+        out = "v" if ch in ("a", "e", "i", "o", "u", "y") else "c" if "a" <= ch <= "z" and len(ch) == 1 else " "
+        if len(self) < 200_000:
+            self[code] = out
+        return out
+
+
+_SOUNDS = _Sounds()
+
+
+def _pairs(text: str) -> tuple[int, int]:
+    """(pairs of neighbouring letters, those of two consonants)."""
+    t = " " + text.translate(_SOUNDS)
+    consonants, vowels = t.count("c"), t.count("v")
+    words = t.count(" c") + t.count(" v")
+    return consonants + vowels - words, consonants - t.count(" c") - t.count("vc")
+
+
 _ODD = re.compile(r"[^\w\s.,:;!?'\"()\-–—。，、：；！？…“”‘’«»「」（）·/&\[\]#*•|]", re.UNICODE)
 _ODDER = re.compile(r"[`~^|\\<>{}$%@=_+]")
 _CASE = re.compile(r"(?<=[a-z0-9])[A-Z]")
@@ -116,21 +137,20 @@ def divergence(p: dict[int, float], q: dict[int, float]) -> float:
     return max(0.0, min(1.0, (out + (1.0 - seen)) / 2))
 
 
-_RARE: dict[str, bool] = {}
+def _frequent_han() -> frozenset:
+    """Characters of the first levels (the frequent ones) of GB 2312 and of Big5."""
+    out = set()
+    for codec, first, last, trails in (("gb2312", 0xB0, 0xD7, range(0xA1, 0xFF)), ("big5", 0xA4, 0xC6, [*range(0x40, 0x7F), *range(0xA1, 0xFF)])):
+        for lead in range(first, last + 1):
+            for trail in trails:
+                try:
+                    out.add(bytes([lead, trail]).decode(codec))
+                except UnicodeDecodeError:
+                    pass
+    return frozenset(out)
 
 
-def _is_rare_han(ch: str) -> bool:
-    """True for characters outside the first levels (the frequent ones) of both GB 2312 and Big5."""
-    known = _RARE.get(ch)
-    if known is None:
-        known = True
-        for codec, lo, hi in (("gb2312", 0xB0, 0xD7), ("big5", 0xA4, 0xC6)):
-            try:
-                known = known and not lo <= ch.encode(codec)[0] <= hi
-            except UnicodeEncodeError:
-                pass
-        _RARE[ch] = known
-    return known
+_FREQUENT_HAN = _frequent_han()
 
 
 def _noise(text: str) -> bool:
@@ -145,10 +165,10 @@ def _noise(text: str) -> bool:
     if n >= 40 and " " not in text and text.isascii() and not re.search(r"[\t|;,]", text):
         return True
     han = _HAN.findall(text)
-    if len(han) >= 6 and sum(map(_is_rare_han, han)) > 0.3 * len(han):
+    if len(han) >= 6 and len([c for c in han if c not in _FREQUENT_HAN]) > 0.3 * len(han):
         return True
-    pairs = _LATIN_PAIR.findall(text)
-    if len(pairs) >= 12 and (sum(1 for p in pairs if p) > 0.53 * len(pairs) or len(_CASE.findall(text)) > 0.15 * len(pairs)):
+    pairs, hard = _pairs(text)
+    if pairs >= 12 and (hard > 0.53 * pairs or len(_CASE.findall(text)) > 0.15 * pairs):
         return True
     digits = sum(map(str.isdigit, text))
     return digits > 0.35 * n and n >= 12 and not re.search(r"[\t|;,]|  ", text)
@@ -162,8 +182,8 @@ def _repeats(text: str) -> bool:
 
 def _scrambled(text: str) -> bool:
     """True if the letters of a whole text follow each other as no language has them."""
-    pairs = _LATIN_PAIR.findall(text)
-    return len(pairs) >= 40 and (sum(1 for p in pairs if p) > 0.53 * len(pairs) or len(_CASE.findall(text)) > 0.15 * len(pairs))
+    pairs, hard = _pairs(text)
+    return pairs >= 40 and (hard > 0.53 * pairs or len(_CASE.findall(text)) > 0.15 * pairs)
 
 
 def _short_fields(line: str, separator: str) -> bool:
@@ -176,9 +196,9 @@ def _is_sentence(line: str, words: list[str]) -> bool:
     """True if a line reads as running text: function words as dense as in prose, or a whole sentence."""
     if len(words) < 4:
         return False
-    hits = sum(1 for w in words if w in _COMMON)
+    hits = len([w for w in words if w in _COMMON])
     if _HAN.search(line):
-        han = sum(1 for w in words if _HAN.match(w))
+        han = len(_HAN.findall(line))
         if han >= 0.5 * len(words):
             return len(words) >= 8 and (hits >= 0.07 * len(words) and ("，" in line or "。" in line or len(words) >= 14) or bool(_ENDS.search(line)) and "，" in line)
     return len(words) >= 5 and (hits >= 0.2 * len(words) or bool(_ENDS.search(line)) and hits >= 0.12 * len(words) and len(words) >= 6)
@@ -196,14 +216,19 @@ class Profiles:
 KINDS = ("prose", "list", "table", "junk")
 
 
-def line_shares(text: str) -> dict[str, float]:
-    """Share of the text's characters in lines of each kind, headings left out."""
+def _lines_and_words(text: str) -> tuple[list[str], list[list[str]]]:
+    """The lines that are not empty, and the words of each in lower case."""
     lines = [line for line in text.split("\n") if line.strip()]
+    return lines, [_WORD.findall(line.lower()) for line in lines]
+
+
+def line_shares(text: str, parts: tuple[list[str], list[list[str]]] | None = None) -> dict[str, float]:
+    """Share of the text's characters in lines of each kind, headings left out."""
+    lines, words = parts or _lines_and_words(text)
     if not lines:
         return {"prose": 0.0, "list": 0.0, "table": 0.0, "junk": 0.0}
     if _repeats(text) or _scrambled(text):
         return {"prose": 0.0, "list": 0.0, "table": 0.0, "junk": 1.0}
-    words = [[w.lower() for w in _WORD.findall(line)] for line in lines]
     # Fields of a row: the separator whose number per line repeats most, at least two of it in a line.
     counts = {s: [len(_WIDE.findall(line.strip())) if s == "\u0000" else line.count(s) for line in lines] for s in _SEPARATORS}
     modes = {s: Counter(c for c in cs if c >= 2).most_common(1) for s, cs in counts.items()}
@@ -247,8 +272,8 @@ def line_shares(text: str) -> dict[str, float]:
 
 def text_statistics(text: str, profiles: Profiles) -> dict:
     """All statistics of one text; an empty text is junk with zero counts."""
-    lines = [line.strip() for line in text.split("\n") if line.strip()]
-    words = [w.lower() for w in _WORD.findall(text)]
+    lines, line_words = _lines_and_words(text)
+    words = [w for own in line_words for w in own]
     chars = len(text)
     n_words = len(words)
     classes = {i: float(n) for i, n in enumerate(class_counts(text)) if n}
@@ -256,14 +281,14 @@ def text_statistics(text: str, profiles: Profiles) -> dict:
     nearest = min(((divergence(functions, profiles.words[g]) + divergence(classes, profiles.classes[g]), g) for g in profiles.words), default=(2.0, ""))[1]
     js_words = divergence(functions, profiles.words[nearest]) if nearest else 1.0
     js_classes = divergence(classes, profiles.classes[nearest]) if nearest else 1.0
-    shares = line_shares(text)
+    shares = line_shares(text, (lines, line_words))
     symbols = sum(n for i, n in classes.items() if i >= 9)
     out = {
         "n_chars": chars, "n_words": n_words, "n_lines": len(lines),
         "mean_word_length": sum(map(len, words)) / n_words if n_words else 0.0,
         "symbol_ratio": symbols / chars if chars else 0.0,
-        "terminal_line_share": sum(1 for x in lines if _ENDS.search(x)) / len(lines) if lines else 0.0,
-        "common_word_share": sum(1 for w in words if w in _COMMON) / n_words if n_words else 0.0,
+        "terminal_line_share": len([x for x in lines if _ENDS.search(x.rstrip())]) / len(lines) if lines else 0.0,
+        "common_word_share": len([w for w in words if w in _COMMON]) / n_words if n_words else 0.0,
         "profile_language": nearest, "js_words": js_words, "js_classes": js_classes,
         **{f"{k}_share": shares[k] for k in KINDS},
     }
