@@ -141,7 +141,7 @@ _HTTP = re.compile(r"^(?:http\s+)?(?:error\s+)?0+\s*[-–:]?\s*(?:not found|forb
 _LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum quisque pretium lacinia elementum vestibulum maecenas pellentesque curabitur vivamus praesent mauris".split())
 
 _MARKUP = re.compile(r"<!--|-->|</?(?:" + _TAGS + r")\b[^<>]*>|\*\*|`+")
-_LEAD = re.compile(r"^[\s>#*+\-|•（(\[]+|[\s|）)\]]+$")
+_BEFORE, _AFTER = " \t\u3000>#*+-|•（([", " \t\u3000|）)]"
 _SENTENCE = re.compile(r"(?:[^。！？.!?…|]|[.!?](?=\S))+[。！？.!?…]*")
 #: Where a line changes between Chinese and another script at a space.
 _BORDER = re.compile(r"(?<=[一-鿿。！？…，]) +(?=[A-Za-z0-9])|(?<=[A-Za-z0-9.]) +(?=[一-鿿])")
@@ -179,7 +179,7 @@ def _plain(line: str) -> str:
 
 
 def _normal(plain: str) -> str:
-    return " ".join(_DIGITS.sub("0", _LEAD.sub("", plain)).lower().split()).strip(" .。…!！,，;；")
+    return " ".join(_DIGITS.sub("0", plain.lstrip(_BEFORE).rstrip(_AFTER)).lower().split()).strip(" .。…!！,，;；")
 
 
 def tokens_of(segment: str) -> list[str]:
@@ -200,7 +200,8 @@ def _line(line: str) -> tuple[tuple[str, ...], bool]:
         marked = bool(PLACEHOLDER.search(line) or UNFILLED.search(line) or _EMPTY_FIELD.match(line) or _EMPTY_ROW.match(line) or _TODO_LINE.match(_plain(line)))
     plain = _plain(line)
     parts = {_normal(plain)}
-    for sentence in _SENTENCE.findall(plain):
+    sentences = _SENTENCE.findall(plain)
+    for sentence in sentences if len(sentences) > 1 or _BORDER.search(plain) else ():
         parts.add(_normal(sentence))
         if _BORDER.search(sentence):
             parts.update(map(_normal, _BORDER.split(sentence)))
@@ -380,7 +381,10 @@ def residue_pages(pages: DataFrame, key: str = "guide_id", trusted: list[str] =
     """
     pages = pages.select(F.col(key).cast("string").alias("page_key"), F.col("markdown").cast("string")).where("page_key is not null and markdown is not null")
     pages = spread(pages, 3)
-    labels = labelled_segments(cut(corpus_segments(pages)), trusted)
+    labels = cut(labelled_segments(cut(corpus_segments(pages)), trusted))
+    sent = None
+    if labels.count() <= MOST_SENT:  # then a task keeps only the labelled of its pages' segments
+        sent = pages.sparkSession.sparkContext.broadcast({r["seg_id"] for r in labels.collect()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in small_frames(batches):
@@ -389,6 +393,8 @@ def residue_pages(pages: DataFrame, key: str = "guide_id", trusted: list[str] =
             for page, markdown in zip(pdf["page_key"], pdf["markdown"]):
                 segments, marked = page_segments(markdown)
                 own = [None] if marked else [segment_id(s) for s in set(segments)]
+                if sent is not None and not marked:
+                    own = [i for i in own if i in sent.value]
                 keys += [page] * len(own)
                 ids += own
             yield pd.DataFrame({"page_key": pd.Series(keys, dtype=object), "seg_id": pd.Series(ids, dtype="Int64")})
