@@ -57,9 +57,11 @@ def nesting_violations(flags: DataFrame) -> DataFrame:
 def duplicate_keys(rows: DataFrame, key: str, shown: int = 10) -> DataFrame:
     """n_duplicated and the ``shown`` least of the keys that occur more than once, as numbers where they are."""
     twice = rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
-    ranked = twice.orderBy(F.col(key).try_cast("decimal(38,0)"), key).limit(shown)
-    listed = ranked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).try_cast("decimal(38,0)").alias("n"), F.col(key).alias("k")))), lambda x: x["k"]), ",").alias("least_keys"))
-    return twice.agg(F.count("*").alias("n_duplicated")).join(F.broadcast(listed))  # one row each
+    number = F.col(key).try_cast("decimal(38,0)")
+    least = twice.orderBy(number, key).limit(shown).select(F.lit(None).cast("bigint").alias("n"), F.struct(number.alias("number"), F.col(key).alias("text")).alias("k"))
+    whole = twice.agg(F.count("*").alias("n")).select("n", F.lit(None).cast(least.schema["k"].dataType).alias("k"))
+    both = least.unionByName(whole)  # at most shown + 1 rows
+    return both.agg(F.max("n").alias("n_duplicated"), F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x["text"]), ",").alias("least_keys"))
 
 
 def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
