@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,20 @@ def spread(df: DataFrame, tasks_per_core: int = 1) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2 * tasks_per_core) if df.rdd.getNumPartitions() < cores * tasks_per_core else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each context; they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_waylake_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="waylake-"), "waylake-package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)  # the driver serves it to the executors
+    sc._waylake_shipped = True
