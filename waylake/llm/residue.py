@@ -119,10 +119,10 @@ _NAME = rf"(?:[A-Za-z][A-Za-z0-9]*(?:[_. -][A-Za-z0-9]+)*|[^\x00-\x7f]{{0,6}}(?:
 _TAGS = "a|abbr|b|blockquote|body|br|center|code|div|em|footer|h[1-6]|head|header|hr|html|i|iframe|img|li|link|main|meta|nav|noscript|ol|p|pre|script|section|small|span|strong|style|sub|sup|table|tbody|td|th|thead|title|tr|u|ul"
 #: Unfilled placeholders: a name between the delimiters of a template language.
 PLACEHOLDER = re.compile(
-    rf"\{{\{{[\s@%#]*{_NAME}[\s@%#]*\}}\}}|\{{%-?\s*{_NAME}\s*-?%\}}|@@\s*{_NAME}\s*@@|[$#]\{{\s*{_NAME}\s*\}}|(?<![\d%])%{_NAME}%(?![\d%])"
+    rf"\{{\{{[\s@%#]*{_NAME}[\s@%#]*\}}\}}|\{{%-?\s*{_NAME}\s*-?%\}}|@@\s*{_NAME}\s*@@|[$#]\{{\s*{_NAME}\s*\}}|(?<!%)%(?:[A-Za-z]{{3,}}(?:[_.][A-Za-z0-9]+)*|[^\x00-\x7f]{{0,6}}(?:{_NOUNS})[^\x00-\x7f]{{0,6}})%(?!%)"
     rf"|<%[=-]?\s*{_NAME}\s*-?%>|__{_NAME}__|(?<![{{$#])\{{(?!.\}}){_NAME}\}}(?!\}})|【\s*(?:[A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+)*|[^】]{{0,4}}(?:{_NOUNS})[^】]{{0,4}})\s*】"
     rf"|<(?!/?(?:{_TAGS})\b)(?:[a-z]+(?:[_.][a-z0-9]+)+|[A-Z]+(?:_[A-Z0-9]+)*|[a-z]+[A-Z][A-Za-z]*|city|area|name|date|season|summary|region|[^\x00-\x7f<>]{{0,4}}(?:{_NOUNS})[^\x00-\x7f<>]{{0,4}})>"
-    rf"|(?<![\]\[(!\w])\[(?:(?:insert|your|add|enter|first|last|city|hotel|area|place|company|attraction|season|admin|guide|user|date|summary|name)(?:[ _.][A-Za-z0-9_. ]{{0,40}})?|[A-Z][A-Z_]{{2,30}}|[^\x00-\x7f\[\]]{{0,6}}(?:{_NOUNS})[^\x00-\x7f\[\]]{{0,6}})\](?![(\]])",
+    rf"|(?<![\]\[(!])\[(?:(?:insert|your|add|enter|first|last|city|hotel|area|place|company|attraction|season|admin|guide|user|date|summary|name)(?:[ _.][A-Za-z0-9_. ]{{0,40}})?|[A-Z][A-Z_]{{2,30}}|[^\x00-\x7f\[\]]{{0,6}}(?:{_NOUNS})[^\x00-\x7f\[\]]{{0,6}})\](?![(\]])",
     re.IGNORECASE,
 )
 #: Marks of a page put out before it was filled.
@@ -231,9 +231,31 @@ def page_segments(markdown: str) -> tuple[list[str], bool]:
     return segments, marked
 
 
+@lru_cache(maxsize=1)
+def _trusted_by_first_token() -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for t in map(normal_segment, TRUSTED):
+        if tokens_of(t):
+            out.setdefault(tokens_of(t)[0], []).append(t)
+    return out
+
+
+_SERVER = re.compile(r"^(?:nginx|apache|cloudflare|reference #?0|ray id|错误代码|请求编号|error code)\b")
+
+
+def _all_trusted(segment: str) -> bool:
+    """True for two or more trusted texts, or one and a server's name or number, in one line."""
+    m = _TOKEN.search(segment)
+    for t in _trusted_by_first_token().get(m[0], []) if m and m.start() < 3 else []:
+        if segment.startswith(t + " ") and (rest := segment[len(t) :].strip()):
+            if _SERVER.match(rest) or _HTTP.search(rest) or rest in _trusted_by_first_token().get((tokens_of(rest) or [""])[0], []) or _all_trusted(rest):
+                return True
+    return False
+
+
 def is_residue(segment: str) -> bool:
     """True for segments whose form alone makes them residue: filler words, one unit over and over, HTTP errors."""
-    if _HTTP.search(segment) or _XS.match(segment):
+    if _HTTP.search(segment) or _XS.match(segment) or _all_trusted(segment):
         return True
     tokens = tokens_of(segment)
     if len(segment) >= 8 and (_ONE_UNIT.match(segment) or _TWO_UNITS.match(segment)) and re.search(r"[^\W\d_]", segment):
