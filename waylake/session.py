@@ -61,12 +61,16 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_waylake_shipped", False):
         return
     package = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="waylake-"), "waylake-package.zip")
+    # Beside the checkpoints if that folder is a file system's; the driver serves the archive to the executors.
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if shared.startswith("/"):
+        os.makedirs(shared, exist_ok=True)
+    archive = os.path.join(tempfile.mkdtemp(prefix="waylake-", dir=shared if shared.startswith("/") else None), "waylake-package.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(package):
             for name in names:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(package)))
-    sc.addPyFile(archive)  # the driver serves it to the executors
+    sc.addPyFile(archive)
     sc._waylake_shipped = True
