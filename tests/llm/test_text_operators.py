@@ -44,6 +44,15 @@ def test_restored_text(spark):
     assert got == {len(CLEAN) * 2: word, len(CLEAN) * 2 + 1: "前半，" + word + "。"}
 
 
+def test_short_stretches_read_as_double_byte(spark):
+    clean = ["Casa Añeja", "été à Señor", "l’administration", "北京小时", "帽子、茅台、煤矿", "A座与B超"] * 4
+    wanted = ["附近有Casa Añeja。", "Café Señor", "l’administration x"]
+    bad = [w.replace("附近有", "").replace("。", "").encode("utf-8").decode("gb18030") for w in wanted] + ["约" + garble("小时", "utf-8", "gb18030") + "可到"]
+    texts = clean + bad
+    got = {int(r["record_key"]): r["restored"] for r in encodings.restored_records(records(spark, texts)).collect()}
+    assert got == dict(enumerate(["Casa Añeja", "Café Señor", "l’administration x", "约小时可到"], len(clean)))
+
+
 def test_encodings_on_nothing(spark):
     assert encodings.garbled_records(records(spark, [])).count() == 0
 

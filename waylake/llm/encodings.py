@@ -39,6 +39,10 @@ _UTF8_UNITS = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{1,2}|[
 _UTF8_FULL = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _UTF8_RUN = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}){2,}")
 _QUOTES = frozenset(range(0x85, 0x98))
+#: A stretch between ASCII characters, and UTF-8 of Latin letters and punctuation, where the wrong reading may have taken an ASCII letter as second byte.
+_SHORT = re.compile("[^\x00-\x7f�]{1,12}")
+_UTF8_LATIN = re.compile(rb"(?:(?:[\xc3-\xc9][\x80-\xbf]|\xe1[\xb8-\xbb][\x80-\xbf]|\xe2\x80[\x90-\xa6])[\x40-\x7e]?)+")
+_LATIN_UNITS = re.compile(rb"[\x40-\x7e]|[\xc3-\xc9][\x80-\xbf]|[\xe1\xe2][\x80-\xbf]{2}")
 
 
 @lru_cache(maxsize=None)
@@ -68,6 +72,7 @@ def candidates(line: str) -> list[dict]:
     """Stretches of a line that a chain could have made: start, end, wrong, right, depth and their tokens.
 
     A token is (unit bytes as Latin-1 text, 2 if it is proof by itself and 1 if not, characters of the line it covers).
+    Depth 0 marks a stretch for whose verification its own characters, in ``own``, are counted too (as tokens of proof 0).
     """
     out: list[dict] = []
     if line.isascii():
@@ -145,7 +150,7 @@ def _utf8_tokens(data: bytes, wrong: str, start: int, end: int, depth: int, mixe
 
 
 def _double_byte(line: str) -> list[dict]:
-    out = []
+    out = _latin_double_byte(line)
     for wrong in DOUBLE:
         if not _UTF8_RUN.search(line.encode(wrong, "replace")):
             continue
@@ -162,15 +167,49 @@ def _double_byte(line: str) -> list[dict]:
                 n += len(p)
                 borders.add(n)
             whole = re.fullmatch(rb"[\x80-\xbf]{0,2}(?:[\xc2-\xdf][\x80-\xbf]|[\xe2-\xef][\x80-\xbf]{2})+(?:[\xe2-\xef][\x80-\xbf]?)?", data)
-            for m in [whole] if whole else (x for x in _UTF8_RUN.finditer(data) if x.start() in borders and len(x[0]) >= 9):
+            for m in [whole] if whole else (x for x in _UTF8_RUN.finditer(data) if x.start() in borders and (len(x[0]) >= 9 or x.end() in borders)):
                 units = [(u.decode("latin-1"), 1, len(u)) for u in _UTF8_FULL.findall(m[0])]
                 first = next((i for i, b in enumerate(_ends(pieces)) if b > m.start()), 0)
                 last = next((i for i, b in enumerate(_ends(pieces)) if b >= m.end()), len(pieces) - 1)
-                if len(units) >= 2 or units and whole and len(run) >= 2 and line[at : at + 1] == "�":
+                if not whole and len(m[0]) < 9:
+                    # Two characters inside a longer run: rare real ones may have such bytes too, so frequency decides.
+                    out.append(_weak(line, begin + first, begin + last + 1, wrong, units))
+                elif len(units) >= 2 or units and whole and len(run) >= 2 and line[at : at + 1] == "�":
                     out.append({"start": begin + first, "end": begin + last + 1, "wrong": wrong, "right": "utf-8", "depth": 1, "chars": len(m[0]), "units": units})
     return out
 
 
+def _weak(line: str, start: int, end: int, wrong: str, units: list[tuple[str, int, int]]) -> dict:
+    """A stretch that counts only if its originals are far more frequent in clean texts than its own characters."""
+    return {"start": start, "end": end, "wrong": wrong, "right": "utf-8", "depth": 0, "chars": end - start, "units": units, "own": line[start:end]}
+
+
+def _latin_double_byte(line: str) -> list[dict]:
+    """Latin letters and punctuation read as double-byte characters: one or two to a letter, beside ASCII letters."""
+    out: list[dict] = []
+    for m in _SHORT.finditer(line):
+        if m.end() - m.start() == 12 or m[0][0] < "⺀":
+            continue
+        before, after = line[m.start() - 1 : m.start()] if m.start() else "", line[m.end() : m.end() + 1]
+        beside = any(c.isascii() and c.isalpha() for c in before + after)
+        for wrong in DOUBLE:
+            try:
+                data = m[0].encode(wrong)
+            except UnicodeEncodeError:
+                continue
+            if not _UTF8_LATIN.fullmatch(data):
+                continue
+            units = [(u.decode("latin-1"), 1, len(u)) for u in _LATIN_UNITS.findall(data)]
+            original = data.decode("utf-8")
+            if not (any(c.isalpha() for c in original) or len(original) > 1 or beside and len(m[0]) > 1):
+                continue
+            if beside or any(u.isascii() for u, _, _ in units):
+                out.append({"start": m.start(), "end": m.end(), "wrong": wrong, "right": "utf-8", "depth": 1, "chars": len(data), "units": units})
+            else:
+                out.append(_weak(line, m.start(), m.end(), wrong, units))
+    return out
+
+
 def _ends(pieces: list[bytes]) -> list[int]:
     out, n = [], 0
     for p in pieces:
@@ -222,12 +261,13 @@ def clean_words(tokens: DataFrame, least: int = 2) -> DataFrame:
 
 
 def form_table(words: DataFrame) -> DataFrame:
-    """written, unit, word, whole, rank: every garbled form; the most frequent original of a form has rank 1."""
+    """written, unit, word, whole, n: every garbled form with its most frequent original, and clean characters as "own"."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [("word", form, word, 1, n) for word, form, n in zip(pdf["word"], pdf["form"], pdf["n"]) if form is not None]
             rows += [(right, unit, word, whole, n) for word, form, n in zip(pdf["word"], pdf["form"], pdf["n"]) if form is None for right, unit, whole in garbled_forms(word)]
+            rows += [("own", word, word, 0, n) for word, form, n in zip(pdf["word"], pdf["form"], pdf["n"]) if form is None]
             yield pd.DataFrame(rows, columns=["written", "unit", "word", "whole", "n"])
 
     forms = words.mapInPandas(run, "written string, unit string, word string, whole int, n bigint")
@@ -235,7 +275,7 @@ def form_table(words: DataFrame) -> DataFrame:
     own = words.where("form is not null").groupBy(F.lit("word").alias("written"), F.col("word").alias("unit")).agg(F.max("n").alias("own"))
     forms = forms.join(own, ["written", "unit"], "left").where(F.col("own").isNull() | (F.col("n") > 3 * F.col("own"))).drop("own")
     best = forms.groupBy("written", "unit").agg(F.max(F.struct("whole", "n", "word")).alias("b"))
-    return best.select("written", "unit", "b.word", "b.whole")
+    return best.select("written", "unit", "b.word", "b.whole", "b.n")
 
 
 #: Rows of ``record_tokens`` by the number of their stretch: tokens from 1 on, and these.
@@ -263,9 +303,11 @@ def record_tokens(texts: DataFrame) -> DataFrame:
                 for line in _lines(text):
                     for c in candidates(line):
                         number += 1
-                        clean = clean and c["right"] == "word"
-                        for (unit, proof, cover), times in Counter(c["units"]).items():
-                            rows.append((kind, key, text_hash, number, c["wrong"], c["right"], c["depth"], c["chars"], len(c["units"]), unit, proof, cover, times))
+                        clean = clean and (c["right"] == "word" or c["depth"] == 0)
+                        units = [u for u in c["units"] if not u[0].isascii() or c["right"] == "word"] + [(x, 0, 0) for x in c.get("own", "")]
+                        n_units = len(units) - len(c.get("own", ""))
+                        for (unit, proof, cover), times in Counter(units).items():
+                            rows.append((kind, key, text_hash, number, c["wrong"], c["right"], c["depth"], c["chars"], n_units, unit, proof, cover, times))
                 if "�" in text:
                     rows.append((kind, key, text_hash, LOST, "", "", 0, 0, 0, "�", 2, 1, text.count("�")))
                 if len(rows) > 50_000:  # what a task holds does not grow with its batches
@@ -287,19 +329,23 @@ def record_tokens(texts: DataFrame) -> DataFrame:
 
 def _verified(tokens: DataFrame, forms: DataFrame) -> DataFrame:
     """Stretches whose tokens are garbled forms of clean words."""
-    joined = tokens.where("run > 0").join(forms, ["written", "unit"])
+    key = F.when(F.col("proof") == 0, "own").otherwise(F.col("written"))
+    joined = tokens.where("run > 0").withColumn("key", key).join(forms.withColumnRenamed("written", "key"), ["key", "unit"])
     stretch = ["kind", "record_key", "text_hash", "run", "wrong", "written", "depth", "chars", "n_units"]
     sums = joined.groupBy(*stretch).agg(
         F.sum(F.when(F.col("proof") == 2, F.col("whole") * F.col("times")).otherwise(0)).alias("proofs"),
-        F.sum("times").alias("hits"), F.sum(F.col("times") * F.col("whole")).alias("wholes"), F.sum(F.col("times") * F.col("cover")).alias("covered"),
-        F.collect_set(F.struct("unit", "word")).alias("originals"),
+        F.sum(F.when(F.col("proof") > 0, F.col("times")).otherwise(0)).alias("hits"), F.sum(F.col("times") * F.col("whole")).alias("wholes"), F.sum(F.col("times") * F.col("cover")).alias("covered"),
+        F.sum(F.when(F.col("proof") > 0, F.col("times") * F.col("n")).otherwise(0)).alias("often"), F.sum(F.when(F.col("proof") == 0, F.col("times") * F.col("n")).otherwise(0)).alias("own_often"),
+        F.collect_set(F.when(F.col("proof") > 0, F.struct("unit", "word"))).alias("originals"),
     )
     utf8 = F.col("written") == "utf-8"
     single = F.col("wrong").isin(*SINGLE)
+    weak = F.col("depth") == 0
     good = (
         (F.col("written") == "word")
+        | (weak & (F.col("wholes") == F.col("n_units")) & (F.col("often") * F.col("chars") >= 3 * F.col("own_often") * F.col("n_units")))
         | (utf8 & single & ((F.col("proofs") >= 1) | ((F.col("hits") >= 2) & (F.col("covered") >= 0.6 * F.col("chars")))))
-        | (utf8 & ~single & (F.col("wholes") >= 0.6 * F.col("n_units")) & (F.col("wholes") >= F.least(F.lit(2), F.col("n_units"))))
+        | (utf8 & ~single & ~weak & (F.col("wholes") >= 0.6 * F.col("n_units")) & (F.col("wholes") >= F.least(F.lit(2), F.col("n_units"))))
         | ((F.col("written").isin(*WRITTEN[1:])) & (F.col("hits") >= 2) & (F.col("covered") >= 0.75 * F.col("chars")))
     )
     return sums.where(good)
@@ -357,7 +403,7 @@ def restore(text: str, known: dict[int, dict[str, str]]) -> str:
         for c in candidates(line):
             number += 1
             if number in known:
-                units = [known[number].get(u) for u, _, _ in c["units"]]
+                units = [u if u.isascii() and c["right"] != "word" else known[number].get(u) for u, _, _ in c["units"]]
                 best.append((c["depth"], sum(1 for u in units if u), -sum(1 for u in units if not u), c["start"], c["end"], "".join(u or "�" for u in units)))
         taken: list[tuple] = []
         for _, _, _, start, end, plain in sorted(best, reverse=True):
