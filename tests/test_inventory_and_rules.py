@@ -1,6 +1,7 @@
 """Tiers, reductions, trees and rules."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from waylake.operators import inventory as inv
 from waylake.operators import relational as rel
 from waylake.operators import rules, trees
+from waylake.plans import registry
 
 TIERS = {"cities15000": [1], "cities5000": [1, 2], "cities1000": [1, 2, 3], "cities500": [1, 2, 3, 4]}
 
@@ -86,3 +88,11 @@ def test_rules(spark):
     rules.enforce(v.limit(0))
     first = rules.first_in_order(df, ["id"], [F.col("n").asc_nulls_last()])
     assert {(r["id"], r["n"], r["is_repeated"]) for r in first.collect()} == {("1", "5", False), ("2", "x", True)}
+
+
+def test_every_id_has_its_numeric_position(spark, tmp_path):
+    rng = random.Random(3)
+    ids = {str(rng.randrange(10 ** rng.randint(1, 25))) for _ in range(3000)} | {"007", "7", "0", "00", "9" * 19, "1" + "0" * 30}
+    spark.createDataFrame([(i,) for i in [*ids, "7", None, "", "x1"]], "geonameid string").write.parquet(str(tmp_path / "cn_inventory.parquet"))
+    got = {r["geonameid"]: r["position"] for r in registry.QUERIES["ord01_numeric_positions"](spark, str(tmp_path)).collect()}
+    assert got == {x: n for n, x in enumerate(sorted(ids, key=lambda x: (int(x), x)), 1)}

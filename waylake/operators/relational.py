@@ -128,3 +128,22 @@ def random_pick(rows: DataFrame, key: str, seed: int, scope: DataFrame | None =
     if leave_out is not None:
         ranked = ranked.where(F.col(key) != leave_out)
     return ranked.orderBy("in_scope", F.xxhash64(F.lit(seed), key), key).limit(1).drop("in_scope")
+
+
+def numeric_positions(ids: DataFrame, column: str) -> DataFrame:
+    """``column``, position: strings of digits in numeric order, equal numbers in the order of the strings.
+
+    A range-partitioned sort, of which each partition adds the number of rows before it; only one row for each
+    partition is sent to the tasks.
+    """
+    digits = F.ltrim(F.col(column), F.lit("0"))
+    rows = cut(ids.select(column).orderBy(F.length(digits), digits, column))
+    # The id of a row is its partition in the upper bits and its place there in the lower 33.
+    placed = rows.select(column, F.monotonically_increasing_id().alias("at")).select(column, F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, offsets = 0, []
+    for part in sorted(sizes):
+        offsets.append((part, before))
+        before += sizes[part]
+    offset = ids.sparkSession.createDataFrame(offsets, "part bigint, before bigint")
+    return placed.join(F.broadcast(offset), "part").select(column, (F.col("before") + F.col("place") + 1).alias("position"))

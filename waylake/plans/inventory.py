@@ -291,6 +291,13 @@ def ord01_numeric_order(spark, root):
     return top.withColumn("position", F.row_number().over(Window.orderBy(F.col("geonameid").cast("long"), "geonameid")).cast("bigint"))
 
 
+@query("ord01_numeric_positions")
+def ord01_numeric_positions(spark, root):
+    """Every id of digits, of any length, with its position in numeric order over the whole table."""
+    ids = table(spark, root, "cn_inventory").select("geonameid").where(F.col("geonameid").rlike("^[0-9]+$")).distinct()
+    return relational.numeric_positions(ids, "geonameid")
+
+
 @query("ord03_locale_order")
 def ord03_locale_order(spark, root):
     """Areas and cities in the order of a Chinese dictionary (pinyin), whole table."""
