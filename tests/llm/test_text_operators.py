@@ -97,6 +97,23 @@ def test_simhash_tables_find_what_brute_force_finds():
     assert len(similar) > 150 and len(met) >= 0.9 * len(similar)
 
 
+def test_no_link_between_segments_is_lost(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    trusted, changed = [], []
+    for n in range(400):
+        # k common shingles of k + 2 * own: the similarity is 0.8 exactly.
+        own, common = 1 + n % 3, 8 * (1 + n % 3)
+        base = [word() for _ in range(common + 4)]
+        trusted.append(" ".join([*base, *(word() for _ in range(own))]))
+        changed.append(" ".join([*base, *(word() for _ in range(own))]))
+    a, b = residue.shingles_of(trusted[0]), residue.shingles_of(changed[0])
+    assert 10 * len(a & b) == 8 * len(a | b)
+    other = [" ".join(word() for _ in range(12)) for _ in range(50)]
+    df = spark.createDataFrame([(str(i), s) for i, s in enumerate(changed + other)], "guide_id string, markdown string")
+    assert {int(r[0]) for r in residue.residue_pages(df, trusted=trusted).collect()} == set(range(len(changed)))
+
+
 # Entity matching
 
 

@@ -2,15 +2,16 @@
 
 Pages are cut into segments (sentences of lines, without markup). Unfilled placeholders inside running text mark
 their page at once. Whole segments are labelled by propagation: segments of the corpus and a list of trusted
-residue texts are put in SimHash tables; candidates of a labelled segment that meet it in a table are verified by
-Hamming distance and by the similarity of their five-word shingles, and labels spread along verified links until
-no new segment is reached, which labels exactly the connected components that hold a trusted one.
+residue texts are joined by a prefix filter on their five-word shingles, which no pair of the wanted similarity
+escapes; the candidates are verified by that similarity, and labels spread along verified links until no new segment
+is reached, which labels exactly the connected components that hold a trusted one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -160,8 +161,8 @@ def small_frames(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits of a SimHash, the number of tables, bits of each table's key (chosen at random), and the greatest distance of a link.
-BITS, TABLES, KEY_BITS, MAX_HAMMING = 64, 20, 12, 18
+#: Bits of a SimHash, the number of tables and bits of each table's key (chosen at random). Links don't depend on them.
+BITS, TABLES, KEY_BITS = 64, 20, 12
 _rng = np.random.default_rng(7)
 _CHOSEN = [list(range(t * KEY_BITS, (t + 1) * KEY_BITS)) if t < BITS // KEY_BITS else sorted(int(b) for b in _rng.permutation(BITS)[:KEY_BITS]) for t in range(TABLES)]
 
@@ -274,10 +275,8 @@ def segment_id(segment: str) -> int:
     return _hash(segment) - (1 << 63)
 
 
-def simhashes(segments: list[str]) -> np.ndarray:
-    """64-bit SimHashes of the segments' shingles, as signed numbers."""
-    if not segments:
-        return np.zeros(0, dtype=np.int64)
+def _shingle_hashes(segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all (one or more) segments, where each segment's begin, and how many it has."""
     codes: list[int] = []
     sizes: list[int] = []
     if len(_HASHES) > 500_000:
@@ -303,6 +302,32 @@ def simhashes(segments: list[str]) -> np.ndarray:
         c = np.where(inside, code[np.minimum(at + k, len(code) - 1)], np.uint64(0))
         h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
         h ^= h >> np.uint64(29)
+    return h, first, windows
+
+
+def prefix_keys(segments: list[str]) -> tuple[list[np.ndarray], list[int]]:
+    """For each segment the least hashes of its shingles, and the number of its shingles.
+
+    Two sets of similarity s share at least s of the larger one. So when both are put in one order, the first
+    n - ceil(s n) + 1 of either must have one in common.
+    """
+    if not segments:
+        return [], []
+    h, first, windows = _shingle_hashes(segments)
+    keys, sizes = [], []
+    for lo, n in zip(first, windows):
+        own = np.unique(h[lo : lo + n])
+        keys.append(own[: len(own) - math.ceil(round(SIMILARITY * len(own), 9)) + 1].view(np.int64))
+        sizes.append(len(own))
+    return keys, sizes
+
+
+def simhashes(segments: list[str]) -> np.ndarray:
+    """64-bit SimHashes of the segments' shingles, as signed numbers."""
+    if not segments:
+        return np.zeros(0, dtype=np.int64)
+    h, first, windows = _shingle_hashes(segments)
+    size = windows
     out = np.zeros((len(size), BITS), dtype=np.uint8)
     step = 200_000
     lo = 0
@@ -327,15 +352,15 @@ def table_keys(hashes: np.ndarray) -> list[np.ndarray]:
 
 
 def _segment_frame(segments: list[str]) -> pd.DataFrame:
-    hashes = simhashes(segments)
-    return pd.DataFrame({"seg_id": pd.Series([segment_id(s) for s in segments], dtype="int64"), "segment": pd.Series(segments, dtype=object), "simhash": hashes, "keys": pd.Series(table_keys(hashes), dtype=object), "residue": pd.Series([is_residue(s) for s in segments], dtype=bool)})
+    keys, sizes = prefix_keys(segments)
+    return pd.DataFrame({"seg_id": pd.Series([segment_id(s) for s in segments], dtype="int64"), "segment": pd.Series(segments, dtype=object), "size": pd.Series(sizes, dtype="int32"), "keys": pd.Series(keys, dtype=object), "residue": pd.Series([is_residue(s) for s in segments], dtype=bool)})
 
 
-SEGMENT = "seg_id bigint, segment string, simhash bigint, keys array<int>, residue boolean"
+SEGMENT = "seg_id bigint, segment string, size int, keys array<bigint>, residue boolean"
 
 
 def corpus_segments(pages: DataFrame) -> DataFrame:
-    """seg_id, segment, simhash, keys, residue: the distinct segments of all pages."""
+    """seg_id, segment, size, keys, residue: the distinct segments of all pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # a task's repeated segments need not be sent twice
@@ -349,9 +374,9 @@ def corpus_segments(pages: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["seg_id"])
 
 
-def in_tables(segments: DataFrame) -> DataFrame:
-    """Each segment once for each table, with its key there."""
-    return segments.select("seg_id", "simhash", F.posexplode("keys").alias("table", "key"))
+def by_key(segments: DataFrame) -> DataFrame:
+    """Each segment once for each of its keys."""
+    return segments.select("seg_id", "size", F.explode("keys").alias("key"))
 
 
 #: Up to so many newly labelled segments go to every task as keys (some 10 MB); more are joined by a shuffle.
@@ -366,10 +391,10 @@ def labelled_segments(segments: DataFrame, trusted: list[str], max_rounds: int =
     """
     spark = segments.sparkSession
     frame = _segment_frame(sorted({normal_segment(t) for t in trusted}))
-    seeds = spark.createDataFrame([(int(i), s, int(h), [int(k) for k in keys], bool(r)) for i, s, h, keys, r in frame.itertuples(index=False)], SEGMENT)
+    seeds = spark.createDataFrame([(int(i), s, int(n), [int(k) for k in keys], bool(r)) for i, s, n, keys, r in frame.itertuples(index=False)], SEGMENT)
     frontier = cut(seeds.unionByName(segments.where("residue")).dropDuplicates(["seg_id"]))
     done = frontier
-    tables = in_tables(segments)
+    keyed = by_key(segments)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -383,9 +408,9 @@ def labelled_segments(segments: DataFrame, trusted: list[str], max_rounds: int =
         number = frontier.count()
         if not number:
             break
-        near = in_tables(frontier).select("table", "key", F.col("seg_id").alias("near_id"), F.col("simhash").alias("near_hash"))
+        near = by_key(frontier).select("key", F.col("seg_id").alias("near_id"), F.col("size").alias("near_size"))
         near = F.broadcast(near) if number <= MOST_SENT else near
-        pairs = tables.join(near, ["table", "key"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("near_hash"))) <= MAX_HAMMING)
+        pairs = keyed.join(near, "key").where(F.least("size", "near_size") >= F.lit(SIMILARITY - 1e-9) * F.greatest("size", "near_size"))
         pairs = pairs.join(done.select("seg_id"), "seg_id", "left_anti").select("seg_id", "near_id").distinct()
         # Texts are fetched for candidates only.
         texts_near = frontier.select(F.col("seg_id").alias("near_id"), F.col("segment").alias("near"))
