@@ -53,6 +53,13 @@ def test_short_stretches_read_as_double_byte(spark):
     assert got == dict(enumerate(["Casa Añeja", "Café Señor", "l’administration x", "约小时可到"], len(clean)))
 
 
+def test_rare_words_and_characters_restore(spark):
+    left = "".join(c for c in "l’administration".encode("utf-8").decode("latin-1") if not "\x7f" < c < "\xa0")
+    texts = ["老城的巷子", "l’administration", garble("老城的鬯子", "utf-8", "latin-1"), left]
+    got = {int(r["record_key"]): r["restored"] for r in encodings.restored_records(records(spark, texts)).collect()}
+    assert got == {2: "老城的鬯子", 3: "l’administration"}
+
+
 def test_encodings_on_nothing(spark):
     assert encodings.garbled_records(records(spark, [])).count() == 0
 

@@ -123,7 +123,7 @@ def _likeliest(found: list[dict]) -> list[dict]:
 
 
 #: Words between white space or table bars; what a dropped multi-byte character leaves of itself.
-_WORD = re.compile(r"[^\s|]{2,24}")
+_WORD = re.compile(r"[^\s|]{2,}")
 _LEFT = re.compile("[Â-ô]")
 _DIGITS = re.compile(r"\d+")
 
@@ -240,7 +240,7 @@ def garbled_forms(word: str) -> set[tuple[str, str, int]]:
 
 
 def garbled_words(text: str) -> dict[str, str]:
-    """Short words with a non-ASCII character by the form that remains when the wrong reading drops control characters.
+    """Words with a non-ASCII character by the form that remains when the wrong reading drops control characters.
 
     Such a form may keep one letter of a character, which is no token by itself; the word around it is.
     """
@@ -254,7 +254,7 @@ def garbled_words(text: str) -> dict[str, str]:
     return out
 
 
-def clean_words(tokens: DataFrame, least: int = 2) -> DataFrame:
+def clean_words(tokens: DataFrame, least: int = 1) -> DataFrame:
     """word, form, n: words of the clean corpus in at least ``least`` texts; form is null for single characters."""
     counted = tokens.where(F.col("run").isin(WORD, PHRASE)).groupBy("run", F.col("unit").alias("word"), F.col("written").alias("form")).agg(F.sum("times").alias("n"))
     return counted.where(F.col("n") >= least).select("word", F.when(F.col("run") == PHRASE, F.col("form")).alias("form"), "n")
@@ -272,7 +272,8 @@ def form_table(words: DataFrame) -> DataFrame:
 
     forms = words.mapInPandas(run, "written string, unit string, word string, whole int, n bigint")
     # A form that clean texts hold too is garbled only if its original is far more frequent.
-    own = words.where("form is not null").groupBy(F.lit("word").alias("written"), F.col("word").alias("unit")).agg(F.max("n").alias("own"))
+    # Once is too little for that: a garbled text without other candidates counts its own form as clean.
+    own = words.where("form is not null and n >= 2").groupBy(F.lit("word").alias("written"), F.col("word").alias("unit")).agg(F.max("n").alias("own"))
     forms = forms.join(own, ["written", "unit"], "left").where(F.col("own").isNull() | (F.col("n") > 3 * F.col("own"))).drop("own")
     best = forms.groupBy("written", "unit").agg(F.max(F.struct("whole", "n", "word")).alias("b"))
     return best.select("written", "unit", "b.word", "b.whole", "b.n")
@@ -287,7 +288,7 @@ def record_tokens(texts: DataFrame) -> DataFrame:
     """One pass over ``texts`` (kind, record_key, text_hash, text): tokens of all candidate stretches, and clean words.
 
     A text with lost characters has a row with run ``LOST``. Texts without any candidate are the clean corpus: each
-    task gives their non-ASCII characters (run ``WORD``) and their short words with some (run ``PHRASE``, the form in
+    task gives their non-ASCII characters (run ``WORD``) and their words with some (run ``PHRASE``, the form in
     ``written``), with the number of texts in ``times``.
     """
 
@@ -315,7 +316,7 @@ def record_tokens(texts: DataFrame) -> DataFrame:
                     rows = []
                 if clean:
                     words.update(c for c in set(text) if c > "\x7f")
-                    phrases.update((word, form) for form, word in garbled_words(text).items() if len(word) <= 12)
+                    phrases.update((word, form) for form, word in garbled_words(text).items())
             if len(phrases) > 200_000:
                 rows += [("", "", 0, PHRASE, "", form, 0, 0, 0, word, 0, 0, n) for (word, form), n in phrases.items()]
                 phrases.clear()
@@ -391,6 +392,14 @@ def restored_records(records: DataFrame) -> DataFrame:
     return whole.mapInPandas(run, "kind string, record_key string, text string, restored string, chains string")
 
 
+def _decoded(unit: str, written: str) -> str | None:
+    """The character of a whole byte sequence that no clean text holds."""
+    try:
+        return unit.encode("latin-1").decode(written) if written in WRITTEN else None
+    except UnicodeDecodeError:
+        return None
+
+
 def restore(text: str, known: dict[int, dict[str, str]]) -> str:
     """``text`` with each verified stretch (by its number) rebuilt from the originals of its tokens.
 
@@ -403,7 +412,7 @@ def restore(text: str, known: dict[int, dict[str, str]]) -> str:
         for c in candidates(line):
             number += 1
             if number in known:
-                units = [u if u.isascii() and c["right"] != "word" else known[number].get(u) for u, _, _ in c["units"]]
+                units = [u if u.isascii() and c["right"] != "word" else known[number].get(u) or _decoded(u, c["right"]) for u, _, _ in c["units"]]
                 best.append((c["depth"], sum(1 for u in units if u), -sum(1 for u in units if not u), c["start"], c["end"], "".join(u or "�" for u in units)))
         taken: list[tuple] = []
         for _, _, _, start, end, plain in sorted(best, reverse=True):
