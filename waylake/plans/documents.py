@@ -89,6 +89,12 @@ def str11_matching_keys(spark, root):
     return c.select("city", text.matching_key(F.col("city")).alias("city_key"))
 
 
+@query("str11_all_matching_keys")
+def str11_all_matching_keys(spark, root):
+    """The key of every city, also of those that NFKC changes."""
+    return table(spark, root, "guide_page").select("city").where("city is not null").distinct().select("city", text.matching_key(F.col("city")).alias("city_key"))
+
+
 @query("str13_keywords", f"SELECT guide_id, array_to_string(list_filter(list_transform(regexp_split_to_array({_callout_sql('旅行关键词')}, '[、，,]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords FROM {_P}")
 def str13_keywords(spark, root):
     return _pages(spark, root).select("guide_id", F.array_join(text.keywords(F.col("markdown")), "|").alias("keywords"))
@@ -156,6 +162,12 @@ def doc03_section_counts(spark, root):
     return docs.page_sections(plain).groupBy("guide_id").agg(F.count("*").alias("n_sections"))
 
 
+@query("doc03_all_section_counts")
+def doc03_all_section_counts(spark, root):
+    """Number of H2 sections of every page that has some, pages with fenced blocks too."""
+    return docs.page_sections(_pages(spark, root)).groupBy("guide_id").agg(F.count("*").alias("n_sections"))
+
+
 @query("doc06_tables")
 def doc06_tables(spark, root):
     return docs.page_tables(_pages(spark, root))
