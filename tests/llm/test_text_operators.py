@@ -265,19 +265,65 @@ KINDS = {
 
 @pytest.mark.parametrize("kind", list(KINDS))
 def test_kinds(kind):
-    for t in KINDS[kind]:
-        assert quality.text_statistics(t, quality.Profiles())["text_kind"] == kind, t[:40]
+    got = quality.text_statistics(KINDS[kind], quality.seed_profiles())
+    assert list(got["text_kind"]) == [kind] * len(KINDS[kind]), got[[c for c in got.columns if c.endswith("_distance")]]
+
+
+def test_divergences_against_brute_force():
+    rng = np.random.default_rng(4)
+    p = quality.shares(rng.integers(0, 3, (5, quality.PLACES)) * (rng.random((5, quality.PLACES)) < 0.1))
+    q = quality.shares(rng.integers(0, 4, (7, quality.PLACES)).astype(float))
+    p[0, : quality.BLOCKS["words"][0]] = 0
+    got = quality.divergences(p, q)
+
+    def js(a, b):
+        if not a.sum() or not b.sum():
+            return 1.0
+        m = (a + b) / 2
+        kl = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m) if v > 0)
+        return (kl(a) + kl(b)) / 2
+
+    for k, (lo, hi) in enumerate(zip(quality._STARTS, quality._ENDS)):
+        for i in range(5):
+            for j in range(7):
+                assert abs(got[i, j, k] - js(p[i, lo:hi], q[j, lo:hi])) < 1e-4
+
+
+def test_counts_against_brute_force():
+    texts = ["The tower, and the gate.\nA  b c\n\n", "", "老城的巷子，很窄。", "x" * 70 + " the", "- ok\n\ud800"]
+    counts, basic = quality.counted(texts)
+    words = counts[:, : quality.BLOCKS["words"][0]]
+    assert words[0, quality._PLACE["the"]] == 2 and words[0, quality._PLACE["and"]] == 1 and words[3, quality._PLACE["the"]] == 1
+    assert basic[:, 1].tolist() == [8, 0, 7, 2, 1] and basic[:, 2].tolist() == [2, 0, 1, 1, 2] and basic[0, 5] == 1
+    long = "The gate is old.\n" * 80_000
+    assert np.allclose(quality.counted([long])[1][0, :3], [len(long), 4 * 80_000, 80_000])
+
+
+def test_divergences_decide_the_kind():
+    """Without the divergences of words and classes many documents would get another kind."""
+    texts = [t for v in KINDS.values() for t in v if t]
+    profiles = quality.seed_profiles()
+    apart = quality.divergences(quality.shares(quality.counted(texts)[0]), profiles.shares)
+    kinds = np.array(profiles.kinds)
+    whole, rest = ((apart[:, :, b] @ quality._WEIGHTS[b]).argmin(axis=1) for b in ([0, 1, 2, 3, 4], [3, 4]))
+    assert (kinds[whole] != kinds[rest]).sum() >= 2
+
+
+def test_wrong_labels_are_outvoted():
+    texts = [f"{PROSE} Number {i}." for i in range(30)]
+    rows = quality.shares(quality.counted(texts)[0])
+    profiles = quality.learned_profiles(rows, ["prose"] * 27 + ["table", "junk", "list"])
+    assert set(quality.text_statistics(texts, profiles)["text_kind"]) == {"prose"}
 
 
 def test_statistics_and_profiles(spark):
-    docs = [(i, t) for i, t in enumerate(t for v in KINDS.values() for t in v)] + [(100, None), (None, "x"), (101, PROSE * 3000)]
+    docs = [(i, t) for i, t in enumerate(t for v in KINDS.values() for t in v)] + [(100, None), (None, "x"), (101, PROSE * 30000)]
     labels = [(i, k) for i, k in enumerate(k for k, v in KINDS.items() for _ in v)] + [(0, "junk"), (None, "list"), (55, None)]
     d = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id bigint, text string, text_kind string")
     l = spark.createDataFrame(labels, "doc_id bigint, text_kind string")
     profiles = quality.fit_profiles(d, l)
-    assert {"en", "zh"} <= set(profiles.words)
+    assert {"en", "zh", "fr", "es"} <= set(profiles.languages)
     rows = {r["doc_id"]: r for r in quality.document_statistics(d, profiles).collect()}
-    assert len(rows) == len(docs) - 1 and rows[100]["n_words"] == 0 and rows[100]["text_kind"] == "junk" and rows[101]["text_kind"] in ("prose", "junk")
-    assert rows[0]["profile_language"] == "en" and rows[0]["js_words"] < 0.3 and 0 <= rows[0]["common_word_share"] <= 1
-    assert quality.divergence({1: 2.0}, {1: 5.0}) == 0 and quality.divergence({1: 1.0}, {2: 1.0}) == 1 and quality.divergence({}, {1: 1.0}) == 1
+    assert len(rows) == len(docs) - 1 and rows[100]["n_words"] == 0 and rows[100]["text_kind"] == "junk" and rows[101]["n_chars"] == 30000 * len(PROSE)
+    assert rows[0]["profile_language"] == "en" and rows[0]["js_words"] < 0.5 and 0 <= rows[0]["common_word_share"] <= 1
     assert quality.document_statistics(d.limit(0), quality.fit_profiles(d, l.limit(0))).count() == 0
