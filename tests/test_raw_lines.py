@@ -1,5 +1,6 @@
 """Raw lines: reasons, typed rows, and agreement of the block path with the strict reader."""
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,7 +69,16 @@ def test_typed_rows(spark):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet=',"ab1\n-', max_size=12), max_size=8))
 def test_blocks_agree_with_strict_reader(lines):
-    found, blocks, singles = rl.parse_lines(lines, rl.REPORT)
+    found, number, rows = rl.parse_lines(pa.array(lines, pa.string()), rl.REPORT)
     for i, line in enumerate(lines):
-        assert found[i] == rl.diagnose(line, rl.REPORT)[0]
-    assert sorted([i for keep, _ in blocks for i in keep] + [i for i, _ in singles]) == [i for i, r in enumerate(found) if r is None]
+        reason, fields = rl.diagnose(line, rl.REPORT)
+        assert found[i] == (reason or (None if rl.REPORT.values_ok(pa.table([[f] for f in fields], names=list(rl.REPORT.fields)))[0].as_py() else "value"))
+    assert sorted(number) == [i for i, r in enumerate(found) if r is None] and rows.num_rows == len(number)
+
+
+def test_bad_lines_among_many_blocks(spark):
+    texts = [gazetteer(geonameid=str(i)) if i % 37 else "short\tline" if i % 2 else gazetteer(latitude="x") for i in range(3000)]
+    got = reasons(spark, rl.GAZETTEER, texts)
+    assert got == {i: None if i % 37 else "column_count" if i % 2 else "value" for i in range(3000)}
+    df = spark.createDataFrame(list(enumerate(texts)), "line_id bigint, raw_line string")
+    assert all(r["line_id"] == int(r["geonameid"]) for r in rl.gazetteer_rows(df).select("line_id", "geonameid").collect())

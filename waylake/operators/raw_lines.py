@@ -1,16 +1,17 @@
 """Loading raw delimited lines: valid rows come out typed, the others with the reason for failure.
 
-Blocks of lines go through a columnar CSV parser. A block that does not parse is bisected until the bad
-line stands alone; only such lines, and rows whose values fail the vectorised checks, are read by the
-strict field reader that names the reason.
+Blocks of lines go through a columnar CSV parser, as slices of one buffer. A block that does not parse is bisected
+down to a few lines, which the strict field reader takes one by one to name the reason. The values of all rows of a
+batch, from either reader, are then checked column by column.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -104,19 +105,26 @@ GAZETTEER = LineFormat("gazetteer_lines", tuple(GAZETTEER_FIELDS), "\t", False)
 REPORT = LineFormat("report_lines", tuple(REPORT_FIELDS), ",", True)
 
 
-def _read_block(lines: list[str], fmt: LineFormat) -> pa.Table | None:
+#: Failing blocks are halved down to so many lines.
+LEAF = 16
+
+
+@lru_cache(maxsize=8)
+def _options(fmt: LineFormat) -> dict:
+    return {
+        "parse_options": pacsv.ParseOptions(delimiter=fmt.separator, quote_char='"' if fmt.quoted else False, double_quote=fmt.quoted, newlines_in_values=fmt.quoted, ignore_empty_lines=False),
+        "convert_options": pacsv.ConvertOptions(column_types={f: pa.string() for f in fmt.fields}, strings_can_be_null=False, quoted_strings_can_be_null=False),
+    }
+
+
+def _read_block(data: pa.Buffer, n_lines: int, fmt: LineFormat) -> pa.Table | None:
     """The block as columns, or None if any of its lines has not the right fields."""
-    data = "\n".join(lines).encode("utf-8", "surrogatepass")
+    read = pacsv.ReadOptions(column_names=list(fmt.fields), use_threads=False, block_size=max(data.size + 16, 1 << 12))
     try:
-        t = pacsv.read_csv(
-            io.BytesIO(data),
-            read_options=pacsv.ReadOptions(column_names=list(fmt.fields), use_threads=False, block_size=max(len(data) + 16, 1 << 12)),
-            parse_options=pacsv.ParseOptions(delimiter=fmt.separator, quote_char='"' if fmt.quoted else False, double_quote=fmt.quoted, newlines_in_values=fmt.quoted, ignore_empty_lines=False),
-            convert_options=pacsv.ConvertOptions(column_types={f: pa.string() for f in fmt.fields}, strings_can_be_null=False, quoted_strings_can_be_null=False),
-        )
+        t = pacsv.read_csv(pa.BufferReader(data), read_options=read, **_options(fmt))
     except pa.ArrowInvalid:
         return None
-    return t if t.num_rows == len(lines) else None
+    return t if t.num_rows == n_lines else None
 
 
 def strict_fields(line: str, fmt: LineFormat) -> tuple[str | None, list[str]]:
@@ -153,45 +161,50 @@ def strict_fields(line: str, fmt: LineFormat) -> tuple[str | None, list[str]]:
 
 
 def diagnose(line: str, fmt: LineFormat) -> tuple[str | None, list[str]]:
-    """The first reason that applies to a line, or None and its fields."""
+    """The first reason that applies to a line but for its values, or None and its fields."""
     reason, fields = strict_fields(line, fmt)
-    if reason:
-        return reason, []
-    if len(fields) != len(fmt.fields):
-        return "column_count", []
-    one = pa.table({f: pa.array([v], pa.string()) for f, v in zip(fmt.fields, fields)})
-    return (None, fields) if fmt.values_ok(one)[0].as_py() else ("value", [])
-
-
-def parse_lines(lines: list[str], fmt: LineFormat) -> tuple[list[str | None], list[tuple[list[int], pa.Table]], list[tuple[int, list[str]]]]:
-    """(reason per line, parsed blocks with their line numbers, lines that only the strict reader could read)."""
-    reasons: list[str | None] = [None] * len(lines)
-    blocks: list[tuple[list[int], pa.Table]] = []
-    singles: list[tuple[int, list[str]]] = []
-    column = pa.array(lines, pa.string())
+    if reason is None and len(fields) != len(fmt.fields):
+        reason = "column_count"
+    return reason, [] if reason else fields
+
+
+def parse_lines(lines: pa.Array, fmt: LineFormat) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """(reason of each line, None for valid ones; numbers of the valid lines; their fields in that order)."""
+    n = len(lines)
+    reasons = np.full(n, None, dtype=object)
     # The block parser takes a carriage return, or a line feed outside quotes, for a line's end, in a value too.
-    fit = (_matches(column, FIT_FOR_BLOCKS) if fmt.quoted else pc.invert(_matches(column, r"[\r\n]|\A\z"))).to_pylist()
-    todo = [(0, len(lines))] if lines else []
+    fit = (_matches(lines, FIT_FOR_BLOCKS) if fmt.quoted else pc.invert(_matches(lines, r"[\r\n]|\A\z"))).to_numpy(zero_copy_only=False)
+    unfit = np.concatenate([[0], np.cumsum(~fit)])
+    _, offsets, data = pc.binary_join_element_wise(lines, "", "\n").buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[: n + 1]
+    parts, numbers, strict = [], [], []
+    todo = [(0, n)] if n else []
     while todo:
         lo, hi = todo.pop()
-        t = _read_block(lines[lo:hi], fmt) if all(fit[lo:hi]) else None
-        if t is None and hi - lo > 1:
+        t = _read_block(data.slice(ends[lo], ends[hi] - ends[lo]), hi - lo, fmt) if unfit[lo] == unfit[hi] else None
+        if t is not None:
+            parts.append(t)
+            numbers.append(np.arange(lo, hi))
+        elif hi - lo <= LEAF:
+            strict += range(lo, hi)
+        else:
             mid = (lo + hi) // 2
             todo += [(mid, hi), (lo, mid)]
-        elif t is None:
-            reasons[lo], fields = diagnose(lines[lo], fmt)
-            if reasons[lo] is None:
-                singles.append((lo, fields))
-        else:
-            ok = fmt.values_ok(t)
-            keep = []
-            for i, good in enumerate(ok.to_pylist()):
-                if good:
-                    keep.append(lo + i)
-                else:
-                    reasons[lo + i] = "value"
-            blocks.append((keep, t.filter(ok)))
-    return reasons, blocks, singles
+    single, fields = [], []
+    for i, line in zip(strict, lines.take(pa.array(strict, pa.int64())).to_pylist()):
+        reasons[i], own = diagnose(line, fmt)
+        if reasons[i] is None:
+            single.append(i)
+            fields.append(own)
+    numbers.append(np.array(single, dtype=np.int64))
+    parts.append(pa.table([pa.array(c, pa.string()) for c in (zip(*fields) if fields else [[]] * len(fmt.fields))], names=list(fmt.fields)))
+    rows, number = pa.concat_tables(parts).combine_chunks(), np.concatenate(numbers)
+    if not len(number):
+        return reasons, number, rows
+    good = fmt.values_ok(rows)
+    mask = good.to_numpy(zero_copy_only=False)
+    reasons[number[~mask]] = "value"
+    return reasons, number[mask], rows.filter(good)
 
 
 def read_lines(lines: DataFrame, fmt: LineFormat, block_rows: int = 2048) -> DataFrame:
@@ -216,15 +229,13 @@ def read_lines(lines: DataFrame, fmt: LineFormat, block_rows: int = 2048) -> Dat
                     raw = pc.replace_substring_regex(pc.replace_substring_regex(raw, "\\A\ufeff", ""), r"\r\z", "")
                     full = pc.fill_null(pc.invert(pc.or_(pc.equal(raw, ""), pc.utf8_is_space(raw))), False)
                     ids, raw = ids.filter(full), raw.filter(full)
-                reasons, blocks, singles = parse_lines(raw.to_pylist(), fmt)
-                bad = [i for i, r in enumerate(reasons) if r is not None]
-                if bad:
-                    yield _batch(schema, ids.take(pa.array(bad, pa.int64())), pa.array([reasons[i] for i in bad], pa.string()), None)
-                for keep, t in blocks:
-                    if keep:
-                        yield _batch(schema, ids.take(pa.array(keep, pa.int64())), None, [t[f].combine_chunks() for f in fmt.fields])
-                if singles:
-                    yield _batch(schema, ids.take(pa.array([i for i, _ in singles], pa.int64())), None, [pa.array(c, pa.string()) for c in zip(*(f for _, f in singles))])
+                ids, raw = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (ids, raw))
+                reasons, number, rows = parse_lines(raw, fmt)
+                bad = np.flatnonzero(reasons != np.array(None))
+                if len(bad):
+                    yield _batch(schema, ids.take(pa.array(bad)), pa.array(reasons[bad], pa.string()), None)
+                if len(number):
+                    yield _batch(schema, ids.take(pa.array(number)), None, [rows[f].combine_chunks() for f in fmt.fields])
 
     ddl = "line_id bigint, " + ", ".join(f"{n} string" for n in names[1:])
     return lines.select(F.col("line_id").cast("bigint"), F.col("raw_line").cast("string")).mapInArrow(run, ddl)
