@@ -1,5 +1,6 @@
 """Operators of the subpackage on small fixtures: nulls, empty texts, ties, repeats, clashing columns, brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -221,6 +222,29 @@ def test_splitting_tree_is_exact():
         assert out.sum(axis=1).max() - out.sum(axis=1).min() <= 2
 
 
+def test_shards_of_a_mix_of_ten_trillion_tokens():
+    """500 million blocks of 20,000 tokens over two million shards of 5 million: a few subtrees to their shards."""
+    blocks, shards = np.array([400_000_000, 90_000_000, 9_999_000, 1_000]), 2_000_000
+    top = list(mixing._split([(0, shards, blocks, np.zeros_like(blocks))], 7, math.ceil(shards / mixing.TOP_NODES)))
+    assert len(top) <= 2 * mixing.TOP_NODES and sum(own for _, _, own, _ in top).tolist() == blocks.tolist()
+    for lo, hi, own, first in top[::300]:
+        leaves = list(mixing._split([(lo, hi, own, first)], 7, 1))
+        per_shard = np.stack([x for _, _, x, _ in leaves]).sum(axis=1) * 20_000
+        assert len(leaves) == hi - lo and per_shard.max() <= 1.1 * 5_000_000 and per_shard.min() >= 0.9 * 5_000_000
+        assert leaves[0][3].tolist() == first.tolist() and sum(x for _, _, x, _ in leaves).tolist() == own.tolist()
+    huge = mixing._left_half(np.array([2_000_000_000, 1, 7]), 0, 2, 1)
+    assert huge.sum() == 1_000_000_004 and (huge <= [2_000_000_000, 1, 7]).all()
+
+
+def test_running_sums_do_not_depend_on_buckets(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a" if i % 3 else "b", i, i % 7) for i in range(500)], "k string, i bigint, w bigint")
+    order = [F.xxhash64("i"), F.col("i")]
+    one, many = ({r["i"]: r["s"] for r in mixing._running(rows, ["k"], order, F.col("w"), "s", F.lit(n)).collect()} for n in (1, 13))
+    assert one == many and len(one) == 500 and sorted(one.values())[0] == 0
+
+
 def test_mixes_meet_their_targets(spark):
     rng = random.Random(3)
     sized = [(i, "big" if i < 900 else "small" if i < 960 else "other", rng.randint(1, 200)) for i in range(1000)]
