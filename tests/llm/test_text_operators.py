@@ -197,12 +197,32 @@ def test_leaks_against_brute_force(spark):
                 want.add((di, ii))
     d = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(docs)] + [(999, None, ""), (None, docs[0], "")], "doc_id bigint, text string, item_id string")
     e = spark.createDataFrame(list(enumerate(items)) + [(77, None)], "item_id bigint, text string")
-    for block in (10, 1_000_000):
-        got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, e, min_run=run, block_chars=block).collect()}
+    for shard, group in ((10, 300), (1_000_000, 1_000_000)):
+        got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, e, min_run=run, shard_chars=shard, group_chars=group).collect()}
         assert got == want and len(want) > 20
     assert leakage.find_leaks(d, e.limit(0)).count() == leakage.find_leaks(d.limit(0), e).count() == 0
 
 
+def test_windows_of_long_texts(monkeypatch):
+    monkeypatch.setattr(leakage, "_CHUNK", 64)
+    rng = random.Random(9)
+    text = "".join(rng.choice("abc城") for _ in range(500))
+    pieces = leakage.Pieces(10)
+    h = pieces.of(text)
+    same = {}
+    for i in range(len(text) - 9):
+        assert same.setdefault(text[i : i + 10], h[i]) == h[i]
+    assert len(set(h)) == len(same) and len(pieces.of("short")) == 0
+    index = leakage.PieceIndex(h[::10])
+    assert set(index.among(h)) == set(h[::10]) and len(leakage.PieceIndex(h[:0]).among(h)) == 0
+
+
+def test_texts_that_compose_are_cleaned():
+    for text in ("한글 ﾊﾟ é e\u0301 x", "ΟΔΟΣ ΣΑΣ\nx", "한\n글", ""):
+        begins, ends = leakage._original_places(text)
+        assert len(begins) == len(ends) == len(leakage.normalised(text)) and all(a < b for a, b in zip(begins, ends))
+
+
 def test_leaked_spans_are_removed(spark):
     secret = "Ｔｈｅ ｓｅｃｒｅｔ passage of an evaluation item, which nobody should ever train on!"
     d = spark.createDataFrame([(1, PROSE + " " + secret + " " + PROSE), (2, secret), (3, PROSE)], "doc_id bigint, text string")
