@@ -2,9 +2,9 @@
 
 An automaton knows every substring of its normalised items; a document is streamed through it and the length of the
 longest suffix that is a substring of some item is kept. Where that length reaches ``min_run``, the items that hold the
-run leaked. The corpus is read once: each run of ``min_run`` covers one whole piece of an item, if items are cut into
-pieces of ``(min_run + 1) // 2``, so a rolling hash over a document, looked up among the hashes of the pieces, passes
-every document that has a run. Only those meet automata, each that of the items whose pieces they hold: items are dealt
+run leaked. The corpus is read once: of the pieces of an item that begin at every ``step``-th place and are
+``min_run - step + 1`` long, each run of ``min_run`` covers one whole, so a rolling hash over a document, looked up
+among the hashes of the pieces, passes every document that has a run. Only those meet automata, each that of the items whose pieces they hold: items are dealt
 to shards of bounded size, and documents and items of a shard are brought together by key.
 """
 
@@ -200,20 +200,21 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_run: int = 50, shard_
     """doc_id, item_id, start, stop, doc_chars: stretches (in normalised text) of documents that items hold.
 
     Items are dealt to shards of about ``shard_chars`` characters, one automaton each. What reaches the driver, and all
-    tasks, are the hashes of the items' pieces: 8 bytes for each ``(min_run + 1) // 2`` characters of items. Documents
+    tasks, are the hashes of the items' pieces: 8 bytes for each ``min_run // 5`` characters of items. Documents
     with a piece of a shard meet its automaton in groups of about ``group_chars``, however many they are. Null texts and
     texts shorter than ``min_run`` share nothing; an empty table gives an empty result. Items with the same text are
     each reported.
     """
     spark = documents.sparkSession
-    width = (min_run + 1) // 2
+    step = max(1, min_run // 5)
+    width = min_run - step + 1
     shards = _sharded(items, min_run, shard_chars)
 
     def cut_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(width)
         for pdf in batches:
             for shard, plain in zip(pdf["shard"], pdf["plain"]):
-                own = np.unique(pieces.of(plain)[::width])
+                own = np.unique(pieces.of(plain)[::step])
                 yield pd.DataFrame({"shard": np.full(len(own), shard, dtype=np.int32), "piece": own.view(np.int64)})
 
     by_piece = cut(shards.select("shard", "plain").mapInPandas(cut_items, "shard int, piece bigint").distinct())
