@@ -66,8 +66,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_kept(spark: SparkSession, root: str) -> DataFrame:
     """The pages without residue."""
-    pages = table(spark, root, "guide_page")
-    return pages.join(residue.residue_pages(pages), "guide_id", "left_anti")
+    return residue.without_residue(table(spark, root, "guide_page"))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """Template residue, filler, error messages and script notices in pages.
 
-Pages are cut into segments (sentences of lines, without markup). Unfilled placeholders inside running text mark
-their page at once. Whole segments are labelled by propagation: segments of the corpus and a list of trusted
-residue texts are joined by a prefix filter on their five-word shingles, which no pair of the wanted similarity
-escapes; the candidates are verified by that similarity, and labels spread along verified links until no new segment
-is reached, which labels exactly the connected components that hold a trusted one.
+Pages are cut into segments (sentences of lines, without markup). Segments of the corpus that resemble a trusted
+residue text, or one already found, are found with partitioned tables over SimHashes of their five-word shingles, and
+verified by Hamming distance and by similarity of the shingles. SimHashes of similar short texts may lie far apart, so
+keys of an exact prefix filter stand beside those of the tables: no pair of the wanted similarity escapes. Labels
+spread along verified links until no new segment is reached, which labels exactly the connected components that hold
+a trusted text. Segments with an unfilled placeholder are labelled by that form, and spread nothing: a sentence with
+a placeholder resembles the clean one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import itertools
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -18,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylake.session import cut, spread
@@ -161,10 +165,8 @@ def small_frames(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits of a SimHash, the number of tables and bits of each table's key (chosen at random). Links don't depend on them.
-BITS, TABLES, KEY_BITS = 64, 20, 12
-_rng = np.random.default_rng(7)
-_CHOSEN = [list(range(t * KEY_BITS, (t + 1) * KEY_BITS)) if t < BITS // KEY_BITS else sorted(int(b) for b in _rng.permutation(BITS)[:KEY_BITS]) for t in range(TABLES)]
+#: Bits of a SimHash, and how many may differ for the tables to find a pair for certain.
+BITS, HAMMING = 64, 3
 
 
 def normal_segment(text: str) -> str:
@@ -209,27 +211,40 @@ def _line(line: str) -> tuple[tuple[str, ...], bool]:
     return tuple(p for p in parts if len(p) >= 3), marked
 
 
-def page_segments(markdown: str) -> tuple[list[str], bool]:
-    """(normalised segments, whether a placeholder or an unfilled mark stands in the text). Fenced blocks are code."""
-    segments: list[str] = []
-    marked = False
+_DIAGRAM = re.compile(r"^\s{0,3}(?:`{3,}|~{3,})\s*(?:mermaid|plantuml|puml|dot|graphviz|flowchart|sequence|ditaa|svgbob)\b", re.IGNORECASE)
+
+
+def page_segments(markdown: str) -> dict[str, bool]:
+    """Normalised segments of a page, and for each whether a placeholder or an unfilled mark stands in its line.
+
+    Diagrams in fenced blocks are no text; one that is never closed ends at the next empty line or heading. Other
+    fenced blocks are read like the rest of the page.
+    """
+    out: dict[str, bool] = {}
     fence = None
     for line in markdown.split("\n"):
-        if "`" in line or "~" in line or fence is not None:
+        if fence is not None or "`" in line or "~" in line:
             m = _FENCE.match(line)
-            if m and fence is None:
-                fence = m[1]
-                continue
             if fence is not None:
                 if m and m[1][0] == fence[0] and len(m[1]) >= len(fence):
                     fence = None
+                    continue
+                if closed or line.strip() and not line.startswith("#"):
+                    continue
+                fence = None
+            elif m:
+                if _DIAGRAM.match(line):
+                    fence = m[1]
+                    closed = re.search(rf"^\s{{0,3}}{re.escape(fence)}", markdown[markdown.index(line) + len(line) :], re.MULTILINE) is not None
                 continue
         if not line or line.isspace():
             continue
         own, mark = _line(line)
-        marked = marked or mark
-        segments += own
-    return segments, marked
+        for segment in own:
+            out[segment] = mark or out.get(segment, False)
+        if mark and not own:
+            out.setdefault(_plain(line).strip() or line, True)
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -258,143 +273,196 @@ def is_residue(segment: str) -> bool:
     """True for segments whose form alone makes them residue: filler words, one unit over and over, HTTP errors."""
     if _HTTP.search(segment) or _XS.match(segment) or _all_trusted(segment):
         return True
-    tokens = tokens_of(segment)
-    if len(segment) >= 8 and (_ONE_UNIT.match(segment) or _TWO_UNITS.match(segment)) and re.search(r"[^\W\d_]", segment):
+    if len(segment) >= 8 and len(set(segment)) <= 7 and (_ONE_UNIT.match(segment) or _TWO_UNITS.match(segment)) and re.search(r"[^\W\d_]", segment):
         return True
-    return len(tokens) >= 5 and sum(1 for t in tokens if t in _LOREM) >= 0.7 * len(tokens)
+    if not segment.isascii():
+        return False
+    tokens = segment.split()
+    return len(tokens) >= 5 and sum(1 for t in tokens if t.strip(",.;:!?") in _LOREM) >= 0.7 * len(tokens)
+
 
+def segment_id(segment: str) -> int:
+    return int.from_bytes(hashlib.blake2b(segment.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
-_HASHES: dict[str, int] = {}
 
+# Sketches of segments
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
 
+@lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """0 for characters between tokens, 1 inside tokens, 2 for single-character tokens; and factors of token hashes."""
+    classes = np.array([1 if chr(c).isalnum() else 0 for c in range(0x110000)], dtype=np.uint8)
+    classes[0x3400:0xA000] = np.where(classes[0x3400:0xA000], 2, 0)
+    classes[0xF900:0xFB00] = np.where(classes[0xF900:0xFB00], 2, 0)
+    return classes, np.random.default_rng(3).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _shingle_hashes(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the segment, hash) of the shingles of all segments; a segment without tokens is one shingle."""
+    classes, factors = _classes()
+    sizes = np.array([len(s) for s in segments])
+    code = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(segments)), sizes)
+    kind = classes[code]
+    bare = np.bincount(owner, kind > 0, minlength=len(segments)) == 0
+    kind = np.where(bare[owner], 2, kind)
+    begins = kind == 2
+    begins[0] |= kind[0] == 1
+    begins[1:] |= (kind[1:] == 1) & ((kind[:-1] != 1) | (owner[1:] != owner[:-1]))
+    start = np.flatnonzero(begins)
+    first = np.zeros(len(code), dtype=np.int64)
+    first[start] = start
+    place = np.arange(len(code)) - np.maximum.accumulate(first)
+    with np.errstate(over="ignore"):
+        # Beyond 256 letters places repeat with another factor.
+        value = np.where(kind > 0, (code.astype(np.uint64) + np.uint64(1)) * factors[place % 256] * (place // 256 * 2 + 1).astype(np.uint64), np.uint64(0))
+        token = _mixed(np.add.reduceat(value, start))
+    of = owner[start]
+    n_tokens = np.bincount(of, minlength=len(segments))
+    windows = np.maximum(1, n_tokens - SHINGLE + 1)
+    begin = np.concatenate([[0], np.cumsum(n_tokens)[:-1]])
+    number = np.repeat(np.arange(len(segments)), windows)
+    at = begin[number] + np.arange(len(number)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
+    end = begin[number] + n_tokens[number]
+    h = np.zeros(len(number), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(SHINGLE):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(at + k < end, token[np.minimum(at + k, len(token) - 1)], np.uint64(0))
+    return number, _mixed(h)
+
+
+def table_blocks(n_segments: int) -> tuple[int, int]:
+    """Into how many blocks SimHashes are cut and how many make a table's key, for a corpus of so many segments.
+
+    Of two SimHashes that differ in at most ``HAMMING`` bits, ``blocks - HAMMING`` blocks or more are equal, so a table
+    for each choice of that many blocks finds the pair. More blocks make longer keys, whose buckets stay small.
+    """
+    return next(((b, b - HAMMING) for b in (4, 5) if (b - HAMMING) * (BITS // b) + 12 >= max(1, n_segments).bit_length()), (6, 3))
 
-def segment_id(segment: str) -> int:
-    return _hash(segment) - (1 << 63)
-
-
-def _shingle_hashes(segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the shingles of all (one or more) segments, where each segment's begin, and how many it has."""
-    codes: list[int] = []
-    sizes: list[int] = []
-    if len(_HASHES) > 500_000:
-        _HASHES.clear()
-    for s in segments:
-        own = tokens_of(s) or [s]
-        for t in own:
-            if t not in _HASHES:
-                _HASHES[t] = _hash(t)
-        codes += [_HASHES[t] for t in own]
-        sizes.append(len(own))
-    code = np.array(codes, dtype=np.uint64)
-    size = np.array(sizes)
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    windows = np.maximum(1, size - SHINGLE + 1)
-    first = np.concatenate([[0], np.cumsum(windows)[:-1]])
-    owner = np.repeat(np.arange(len(size)), windows)
-    at = begin[owner] + np.arange(len(owner)) - first[owner]
-    end = begin[owner] + size[owner]
-    h = np.zeros(len(owner), dtype=np.uint64)
-    for k in range(SHINGLE):
-        inside = at + k < end
-        c = np.where(inside, code[np.minimum(at + k, len(code) - 1)], np.uint64(0))
-        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
-        h ^= h >> np.uint64(29)
-    return h, first, windows
-
-
-def prefix_keys(segments: list[str]) -> tuple[list[np.ndarray], list[int]]:
-    """For each segment the least hashes of its shingles, and the number of its shingles.
+
+def sketches(segments: list[str], blocks: tuple[int, int] = (4, 1)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """SimHash, number of shingles and keys of each segment: odd keys are those of the tables, even ones of prefixes.
 
     Two sets of similarity s share at least s of the larger one. So when both are put in one order, the first
-    n - ceil(s n) + 1 of either must have one in common.
+    n - ceil(s n) + 1 of either must have one in common: these, of the least hashes, are the prefix. Sets of one to
+    three shingles are that similar only if they are equal, so their SimHash alone is a key.
     """
     if not segments:
-        return [], []
-    h, first, windows = _shingle_hashes(segments)
-    keys, sizes = [], []
-    for lo, n in zip(first, windows):
-        own = np.unique(h[lo : lo + n])
-        keys.append(own[: len(own) - math.ceil(round(SIMILARITY * len(own), 9)) + 1].view(np.int64))
-        sizes.append(len(own))
-    return keys, sizes
-
-
-def simhashes(segments: list[str]) -> np.ndarray:
-    """64-bit SimHashes of the segments' shingles, as signed numbers."""
-    if not segments:
-        return np.zeros(0, dtype=np.int64)
-    h, first, windows = _shingle_hashes(segments)
-    size = windows
-    out = np.zeros((len(size), BITS), dtype=np.uint8)
-    step = 200_000
-    lo = 0
-    while lo < len(size):  # some segments at a time, for memory
-        hi = lo + max(1, int(np.searchsorted(first[lo:], first[lo] + step)))
-        part = h[first[lo] : first[hi] if hi < len(size) else None]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
-        sums = np.add.reduceat(bits, first[lo:hi] - first[lo], axis=0, dtype=np.int64)
-        out[lo:hi] = sums * 2 > windows[lo:hi, None]
-        lo = hi
-    return np.packbits(out, axis=1).view("<i8").reshape(-1)
-
-
-def table_keys(hashes: np.ndarray) -> list[np.ndarray]:
-    """For each SimHash its key in every table."""
-    unsigned = hashes.astype("<i8").view(np.uint64)
-    out = np.zeros((len(hashes), TABLES), dtype=np.int32)
-    for t, bits in enumerate(_CHOSEN):
-        for place, bit in enumerate(bits):
-            out[:, t] |= (((unsigned >> np.uint64(bit)) & np.uint64(1)) << np.uint64(place)).astype(np.int32)
-    return list(out)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), []
+    number, h = _shingle_hashes(segments)
+    order = np.lexsort((h, number))
+    number, h = number[order], h[order]
+    new = np.concatenate([[True], (number[1:] != number[:-1]) | (h[1:] != h[:-1])])
+    number, h = number[new], h[new]
+    size = np.bincount(number, minlength=len(segments))
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    simhash = np.zeros(len(segments), dtype=np.uint64)
+    for bit in range(BITS):
+        ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), begin)
+        simhash |= (2 * ones > size).astype(np.uint64) << np.uint64(bit)
+    few = size <= 3
+    prefix = np.where(few, 0, size - np.ceil(np.round(SIMILARITY * size, 9)).astype(np.int64) + 1)
+    rank = np.arange(len(h)) - begin[number]
+    taken = rank < prefix[number]
+    one = np.uint64(1)
+    own, keys = [number[taken], np.flatnonzero(few)], [h[taken] & ~one, _mixed(simhash[few]) | one]
+    many = np.flatnonzero(~few)
+    width = BITS // blocks[0]
+    for table, chosen in enumerate(itertools.combinations(range(blocks[0]), blocks[1])):
+        mask = sum(((1 << (BITS - b * width if b == blocks[0] - 1 else width)) - 1) << (b * width) for b in chosen)
+        own.append(many)
+        keys.append(_mixed((simhash[many] & np.uint64(mask)) ^ np.uint64((table + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) | one)
+    own, keys = np.concatenate(own), np.concatenate(keys).view(np.int64)
+    order = np.argsort(own, kind="stable")
+    return simhash.view(np.int64), size.astype(np.int32), np.split(keys[order], np.cumsum(np.bincount(own, minlength=len(segments)))[:-1])
+
+
+#: Kinds of labels a segment may have by itself: none, of its form (which spreads), of a placeholder in it.
+NONE, FORM, PLACED = 0, 1, 2
+HELD = "page_key string, seg_id bigint, segment string, label int, simhash bigint, size int, keys array<bigint>"
+
+
+def _frame(pages: list[str], segments: list[str], labels: list[int], first: list[bool], blocks: tuple[int, int]) -> pd.DataFrame:
+    """Rows of ``HELD``; only those marked as the first of their segment have a sketch."""
+    at = [i for i, f in enumerate(first) if f]
+    simhash, size, keys = sketches([segments[i] for i in at], blocks)
+    out = pd.DataFrame({"page_key": pd.Series(pages, dtype=object), "seg_id": pd.Series([segment_id(s) for s in segments], dtype="int64"), "segment": pd.Series(segments, dtype=object), "label": pd.Series(labels, dtype="int32")})
+    for name, values, kind in (("simhash", simhash, "Int64"), ("size", size, "Int32"), ("keys", keys, object)):
+        out[name] = pd.Series(values, index=at, dtype=kind).reindex(range(len(segments)))
+    if not at:
+        out["keys"] = pd.Series([None] * len(segments), dtype=object)
+    out["keys"] = out["keys"].where(out["keys"].notna(), None)
+    return out
 
 
-def _segment_frame(segments: list[str]) -> pd.DataFrame:
-    keys, sizes = prefix_keys(segments)
-    return pd.DataFrame({"seg_id": pd.Series([segment_id(s) for s in segments], dtype="int64"), "segment": pd.Series(segments, dtype=object), "size": pd.Series(sizes, dtype="int32"), "keys": pd.Series(keys, dtype=object), "residue": pd.Series([is_residue(s) for s in segments], dtype=bool)})
+def held_segments(pages: DataFrame, blocks: tuple[int, int] = (4, 1)) -> DataFrame:
+    """``HELD``: the distinct segments of each page (page_key, markdown).
 
+    A task gives the sketch of a segment (and its text) only where it first meets it.
+    """
 
-SEGMENT = "seg_id bigint, segment string, size int, keys array<bigint>, residue boolean"
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for pdf in small_frames(batches):
+            keys, segments, labels, first = [], [], [], []
+            for page, markdown in zip(pdf["page_key"], pdf["markdown"]):
+                for segment, placed in page_segments(markdown).items():
+                    h = hash(segment)
+                    new = h not in seen
+                    if new and len(seen) < 2_000_000:  # beyond, sketches are given again
+                        seen.add(h)
+                    keys.append(page)
+                    segments.append(segment)
+                    labels.append(PLACED if placed else FORM if is_residue(segment) else NONE)
+                    first.append(new)
+            if segments:
+                yield _frame(keys, segments, labels, first, blocks)
 
+    return pages.mapInPandas(run, HELD)
 
-def corpus_segments(pages: DataFrame) -> DataFrame:
-    """seg_id, segment, size, keys, residue: the distinct segments of all pages."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()  # a task's repeated segments need not be sent twice
-        for pdf in small_frames(batches):
-            distinct = [s for s in {s for m in pdf["markdown"] for s in page_segments(m)[0]} if segment_id(s) not in seen]
-            if len(seen) < 2_000_000:
-                seen.update(map(segment_id, distinct))
-            yield _segment_frame(distinct)
+#: Slots of the filters that are sent to all tasks, whatever they filter for.
+SLOTS = 1 << 17
 
-    rows = pages.select("markdown").where("markdown is not null").mapInPandas(run, SEGMENT)
-    return rows.dropDuplicates(["seg_id"])
 
+def among(column: Column, ids: DataFrame) -> Column:
+    """True for all values of a bigint column that ``ids`` (one column) has, and for few others.
 
-def by_key(segments: DataFrame) -> DataFrame:
-    """Each segment once for each of its keys."""
-    return segments.select("seg_id", "size", F.explode("keys").alias("key"))
+    At most ``SLOTS`` numbers come to the driver; a constant of as many bits goes to the tasks. Where ``ids`` has very
+    many values the filter lets more through, and the join behind it has more to do, but nothing else changes.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    words = [0] * (SLOTS // 64)
+    for (n,) in ids.select(slot(F.col(ids.columns[0]))).distinct().collect():
+        words[n // 64] |= 1 << (n % 64)
+    signed = [w - (1 << 64) if w >> 63 else w for w in words]
+    bits = F.from_json(F.lit(json.dumps(signed)), "array<bigint>")
+    return F.getbit(F.get(bits, (slot(column) / 64).cast("int")), (slot(column) % 64).cast("int")) == 1
 
 
-#: Up to so many newly labelled segments go to every task as keys (some 10 MB); more are joined by a shuffle.
-MOST_SENT = 20_000
+_NODE = ["seg_id", "segment", "simhash", "size", "keys"]
 
 
-def labelled_segments(segments: DataFrame, trusted: list[str], max_rounds: int = 50) -> DataFrame:
+def labelled_segments(held: DataFrame, trusted: list[str], blocks: tuple[int, int] = (4, 1)) -> DataFrame:
     """seg_id of all segments in connected components with a trusted text or a segment of residue's form.
 
-    ``segments`` is what ``corpus_segments`` gives. Each round links what the last one reached; rounds end when
-    nothing new is reached.
+    ``held`` is what ``held_segments`` gives. Each round links what the last one reached; rounds end when nothing new
+    is reached, however many that takes. Trusted texts are nodes of their own: a segment is labelled by its link to one.
     """
-    spark = segments.sparkSession
-    frame = _segment_frame(sorted({normal_segment(t) for t in trusted}))
-    seeds = spark.createDataFrame([(int(i), s, int(n), [int(k) for k in keys], bool(r)) for i, s, n, keys, r in frame.itertuples(index=False)], SEGMENT)
-    frontier = cut(seeds.unionByName(segments.where("residue")).dropDuplicates(["seg_id"]))
-    done = frontier
-    keyed = by_key(segments)
+    spark = held.sparkSession
+    texts = sorted({normal_segment(t) for t in trusted})
+    simhash, size, keys = sketches(texts, blocks)
+    seeds = spark.createDataFrame([(segment_id(f"trusted {t}"), t, int(a), int(b), [int(k) for k in c]) for t, a, b, c in zip(texts, simhash, size, keys)], "seg_id bigint, segment string, simhash bigint, size int, keys array<bigint>")
+    nodes = held.where("keys is not null and label <> 2").select(*_NODE)
+    formed = held.where(F.col("keys").isNotNull() & (F.col("label") == FORM)).select(*_NODE)
+    keyed = nodes.select("seg_id", "simhash", "size", F.explode("keys").alias("key"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -404,21 +472,19 @@ def labelled_segments(segments: DataFrame, trusted: list[str], max_rounds: int =
                 keep.append(a == b or bool(x and y) and len(x & y) >= SIMILARITY * len(x | y))
             yield pdf.loc[keep, ["seg_id"]]
 
-    for _ in range(max_rounds):
-        number = frontier.count()
-        if not number:
-            break
-        near = by_key(frontier).select("key", F.col("seg_id").alias("near_id"), F.col("size").alias("near_size"))
-        near = F.broadcast(near) if number <= MOST_SENT else near
-        pairs = keyed.join(near, "key").where(F.least("size", "near_size") >= F.lit(SIMILARITY - 1e-9) * F.greatest("size", "near_size"))
-        pairs = pairs.join(done.select("seg_id"), "seg_id", "left_anti").select("seg_id", "near_id").distinct()
+    frontier = cut(seeds.unionByName(formed).dropDuplicates(["seg_id"]))
+    done = cut(formed.select("seg_id").distinct())
+    while not frontier.isEmpty():
+        near = frontier.select(F.col("seg_id").alias("near_id"), F.col("simhash").alias("near_simhash"), F.col("size").alias("near_size"), F.explode("keys").alias("key"))
+        alike = (F.least("size", "near_size") >= F.lit(SIMILARITY - 1e-9) * F.greatest("size", "near_size")) & ((F.col("key").bitwiseAND(F.lit(1)) == 0) | (F.bit_count(F.col("simhash").bitwiseXOR(F.col("near_simhash"))) <= HAMMING))
+        pairs = cut(keyed.where(among(F.col("key"), near.select("key"))).join(near, "key").where(alike).select("seg_id", "near_id").distinct().join(done, "seg_id", "left_anti"))
         # Texts are fetched for candidates only.
-        texts_near = frontier.select(F.col("seg_id").alias("near_id"), F.col("segment").alias("near"))
-        pairs = segments.select("seg_id", "segment").join(pairs.join(texts_near, "near_id"), "seg_id")
-        reached = pairs.mapInPandas(verify, "seg_id bigint").distinct()
-        frontier = cut(segments.join(reached, "seg_id", "left_semi"))
-        done = cut(done.unionByName(frontier))
-    return done.select("seg_id")
+        wanted = nodes.where(among(F.col("seg_id"), pairs.select("seg_id"))).dropDuplicates(["seg_id"])
+        compared = wanted.select("seg_id", "segment").join(pairs.join(frontier.select(F.col("seg_id").alias("near_id"), F.col("segment").alias("near")), "near_id"), "seg_id")
+        reached = compared.mapInPandas(verify, "seg_id bigint").distinct()
+        frontier = cut(wanted.join(reached, "seg_id", "left_semi"))
+        done = cut(done.unionByName(frontier.select("seg_id")))
+    return done
 
 
 def residue_pages(pages: DataFrame, key: str = "guide_id", trusted: list[str] = TRUSTED) -> DataFrame:
@@ -427,25 +493,18 @@ def residue_pages(pages: DataFrame, key: str = "guide_id", trusted: list[str] =
     Null pages and null keys are no cases; an empty table gives an empty result. Repeated rows count once.
     """
     pages = pages.select(F.col(key).cast("string").alias("page_key"), F.col("markdown").cast("string")).where("page_key is not null and markdown is not null")
-    pages = spread(pages, 3)
-    labels = cut(labelled_segments(cut(corpus_segments(pages)), trusted))
-    sent = None
-    if labels.count() <= MOST_SENT:  # then a task keeps only the labelled of its pages' segments
-        sent = pages.sparkSession.sparkContext.broadcast({r["seg_id"] for r in labels.collect()})
+    blocks = table_blocks(pages.count() * 100)  # some hundred segments a page
+    held = cut(held_segments(spread(pages, 3), blocks))
+    labels = labelled_segments(held, trusted, blocks)
+    linked = held.where(among(F.col("seg_id"), labels)).join(labels, "seg_id", "left_semi").select("page_key")
+    return linked.unionByName(held.where(F.col("label") == PLACED).select("page_key")).distinct().withColumnRenamed("page_key", key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in small_frames(batches):
-            keys: list[str] = []
-            ids: list[int | None] = []
-            for page, markdown in zip(pdf["page_key"], pdf["markdown"]):
-                segments, marked = page_segments(markdown)
-                own = [None] if marked else [segment_id(s) for s in set(segments)]
-                if sent is not None and not marked:
-                    own = [i for i in own if i in sent.value]
-                keys += [page] * len(own)
-                ids += own
-            yield pd.DataFrame({"page_key": pd.Series(keys, dtype=object), "seg_id": pd.Series(ids, dtype="Int64")})
-
-    held = pages.mapInPandas(run, "page_key string, seg_id bigint")
-    marked = held.where("seg_id is null").select("page_key")
-    return marked.unionByName(held.join(labels, "seg_id", "left_semi").select("page_key")).distinct().withColumnRenamed("page_key", key)
+
+def without_residue(pages: DataFrame, key: str = "guide_id") -> DataFrame:
+    """The rows of ``pages`` but for those of pages with residue; rows without a key or a text are kept.
+
+    Only rows whose key may be among the found ones take part in the join.
+    """
+    found = cut(residue_pages(pages, key))
+    maybe = F.coalesce(among(F.xxhash64(key), found.select(F.xxhash64(key).alias("h"))), F.lit(False))
+    return pages.where(~maybe).unionByName(pages.where(maybe).join(found, key, "left_anti"))
