@@ -54,6 +54,32 @@ def test_short_stretches_read_as_double_byte(spark):
     assert got == dict(enumerate(["Casa Añeja", "Café Señor", "l’administration x", "约小时可到"], len(clean)))
 
 
+CHAINS = {
+    "gb18030>big5": ("老城的巷子不宽", "老城的巷子"), "gb18030>cp949": ("老城的巷子不宽", "老城的巷子不宽"), "big5>gb18030": ("城的巷子不寬", "的巷子不寬"),
+    "utf-8>cp437>cp1252": ("老城的巷子不宽", None), "utf-8>latin-1>mac_roman": ("老城的巷子不宽", "老城的巷子不宽"), "utf-8>latin-1>latin-1>latin-1": ("老城的巷子不宽", "老城的巷子不宽"),
+    "cp1252>cp437": ("Le café était fermé", "Le café était fermé"), "cp1252>mac_roman": ("Le café était fermé", "Le café était fermé"), "cp1252>cp1251": ("Le café était fermé", "Le café était fermé"),
+    "cp1252>cp850": ("El señor del balcón", "El señor del balcón"), "mac_roman>cp1252": ("El señor del balcón", "El señor del balcón"),
+}
+
+
+def test_mixed_chains(spark):
+    """Chains whose originals occur three times in clean texts; what a wrong reading lost may stay lost."""
+
+    def garbled(text, chain):
+        steps = chain.split(">")
+        for written, wrong in zip([steps[0], *steps[1:]] if len(steps) == 2 else ["utf-8"] * (len(steps) - 1), steps[1:]):
+            text = text.encode(written, "ignore").decode(wrong, "ignore")
+        return text
+
+    clean = ["老城的巷子不宽，正午时分反而凉爽", "老城的巷子不寬", "Le café était fermé", "El señor del balcón"] * 3
+    texts = clean + [garbled(t, c) for c, (t, _) in CHAINS.items()]
+    found = {int(r["record_key"]) for r in encodings.garbled_records(records(spark, texts)).collect()}
+    assert found == set(range(len(clean), len(texts)))
+    restored = {int(r["record_key"]): r["restored"] for r in encodings.restored_records(records(spark, texts)).collect()}
+    for i, (_, want) in enumerate(CHAINS.values(), len(clean)):
+        assert want is None or want in restored[i], (list(CHAINS)[i - len(clean)], restored[i])
+
+
 def test_rare_words_and_characters_restore(spark):
     left = "".join(c for c in "l’administration".encode("utf-8").decode("latin-1") if not "\x7f" < c < "\xa0")
     texts = ["老城的巷子", "l’administration", garble("老城的鬯子", "utf-8", "latin-1"), left]

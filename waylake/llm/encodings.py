@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waylake.llm.filters import among
 from waylake.session import cut, spread
 
 #: Encodings that a text may wrongly have been read in: one byte to a character, or up to two.
@@ -27,8 +28,10 @@ SINGLE = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp437", "
 DOUBLE = ("gb18030", "big5", "cp932", "cp949", "euc_jp")
 #: Encodings that it may have been written in.
 WRITTEN = ("utf-8", "gb18030", "big5")
-#: How often one wrong reading may have been made after another.
-DEPTH = 2
+#: How often one wrong reading, of any one-byte encoding, may have been made after another.
+DEPTH = 3
+#: One-byte encodings that Western words may have been written in and then read in any of ``SINGLE``.
+WESTERN = ("cp1252", "mac_roman", "cp437", "cp850")
 _NON_LATIN = frozenset(("cp1251", "cp1253", "cp866", "koi8_r", "iso8859_5", "iso8859_7"))
 
 _CJK = "⺀-鿿豈-﫿︰-﹏＀-￯\U00020000-\U0003ffff"
@@ -77,7 +80,8 @@ def candidates(line: str) -> list[dict]:
     out: list[dict] = []
     if line.isascii():
         return out
-    if _FOREIGN.search(line):
+    foreign = _FOREIGN.search(line)
+    if foreign:
         for wrong in SINGLE:
             table = _bytes_of(wrong)
             for m in _run_of(wrong).finditer(line):
@@ -94,10 +98,10 @@ def candidates(line: str) -> list[dict]:
                         if len(units) >= 2:
                             out.append({"start": m.start(), "end": m.end(), "wrong": wrong, "right": right, "depth": 1, "chars": len(run), "units": units})
         out = _likeliest(out)
-        for m in _WORD.finditer(line):
-            if _LEFT.search(m[0]):
-                unit = _DIGITS.sub("0", m[0])
-                out.append({"start": m.start(), "end": m.end(), "wrong": "latin_1", "right": "word", "depth": 1, "chars": len(m[0]), "units": [(unit, 1, len(m[0]))]})
+    for m in _WORD.finditer(line):
+        if not m[0].isascii() and _LEFT.search(m[0]) and (foreign or _LETTER.search(m[0])):
+            unit = _DIGITS.sub("0", m[0])
+            out.append({"start": m.start(), "end": m.end(), "wrong": "latin_1", "right": "word", "depth": 1, "chars": len(m[0]), "units": [(unit, 1, len(m[0]))]})
     out += _double_byte(line)
     return out
 
@@ -124,7 +128,9 @@ def _likeliest(found: list[dict]) -> list[dict]:
 
 #: Words between white space or table bars; what a dropped multi-byte character leaves of itself.
 _WORD = re.compile(r"[^\s|]{2,}")
-_LEFT = re.compile("[Â-ô]")
+#: Letters and signs that a one-byte encoding has in its upper half.
+_LEFT = re.compile("[\x80-\u052f\u2010-\u25ff\ufb01\ufb02]")
+_LETTER = re.compile("[A-Za-z]")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -142,15 +148,20 @@ def _utf8_tokens(data: bytes, wrong: str, start: int, end: int, depth: int, mixe
         return []
     out = [{"start": start, "end": end, "wrong": wrong, "right": "utf-8", "depth": depth, "chars": len(data), "units": units}]
     inner = "".join(text)
-    if depth < DEPTH and len(inner) >= 2 and wrong in ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "iso8859_15"):
-        table = _bytes_of(wrong)
-        for m in _run_of(wrong).finditer(inner):
-            out += _utf8_tokens(bytes(table[c] for c in m[0]), wrong, start, end, depth + 1)
+    if depth < DEPTH and len(inner) >= 2:
+        read: set[bytes] = set()  # many encodings share the bytes of a stretch
+        for other in SINGLE:
+            table = _bytes_of(other)
+            for m in _run_of(other).finditer(inner):
+                more = bytes(table[c] for c in m[0])
+                if more not in read:
+                    read.add(more)
+                    out += _utf8_tokens(more, other, start, end, depth + 1)
     return out
 
 
 def _double_byte(line: str) -> list[dict]:
-    out = _latin_double_byte(line)
+    out = _latin_double_byte(line) + _han_double_byte(line)
     for wrong in DOUBLE:
         if not _UTF8_RUN.search(line.encode(wrong, "replace")):
             continue
@@ -179,9 +190,49 @@ def _double_byte(line: str) -> list[dict]:
     return out
 
 
-def _weak(line: str, start: int, end: int, wrong: str, units: list[tuple[str, int, int]]) -> dict:
+#: The frequent characters (first levels) of the double-byte encodings that Chinese is written in, as bytes.
+_LEVEL_ONE = {"gb18030": re.compile(rb"(?:[\xb0-\xd7][\xa1-\xfe])+"), "big5": re.compile(rb"(?:[\xa4-\xc6][\x40-\x7e\xa1-\xfe])+")}
+_EASTERN = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\ue000-\ufaff]{4,}")
+
+
+@lru_cache(maxsize=1)
+def _frequent() -> frozenset:
+    """The characters of the first level of GB 2312."""
+    return frozenset(c for a in range(0xB0, 0xD8) for b in range(0xA1, 0xFF) for c in bytes([a, b]).decode("gb2312", "ignore"))
+
+
+def _han_double_byte(line: str) -> list[dict]:
+    """Chinese written in one double-byte encoding and read in another: four or more characters, most of them rare.
+
+    Each stands for one original; the stretch counts if all originals are known and far more frequent.
+    """
+    out: list[dict] = []
+    known = _frequent()
+    for run in _EASTERN.finditer(line):
+        mask = "".join("f" if c in known else "r" for c in run[0])
+        if mask.count("r") < 2:
+            continue
+        for m in re.finditer("r(?:f{0,2}r)+", mask):
+            if m.end() - m.start() < 4:
+                continue
+            text = run[0][m.start() : m.end()]
+            for wrong in DOUBLE:
+                try:
+                    data = text.encode(wrong)
+                except UnicodeEncodeError:
+                    continue
+                if len(data) != 2 * len(text):
+                    continue
+                for right, frequent in _LEVEL_ONE.items():
+                    if right != wrong and frequent.fullmatch(data):
+                        units = [(data[i : i + 2].decode("latin-1"), 1, 1) for i in range(0, len(data), 2)]
+                        out.append(_weak(line, run.start() + m.start(), run.start() + m.end(), wrong, units, right))
+    return out
+
+
+def _weak(line: str, start: int, end: int, wrong: str, units: list[tuple[str, int, int]], right: str = "utf-8") -> dict:
     """A stretch that counts only if its originals are far more frequent in clean texts than its own characters."""
-    return {"start": start, "end": end, "wrong": wrong, "right": "utf-8", "depth": 0, "chars": end - start, "units": units, "own": line[start:end]}
+    return {"start": start, "end": end, "wrong": wrong, "right": right, "depth": 0, "chars": end - start, "units": units, "own": line[start:end]}
 
 
 def _latin_double_byte(line: str) -> list[dict]:
@@ -239,25 +290,61 @@ def garbled_forms(word: str) -> set[tuple[str, str, int]]:
     return out
 
 
-def garbled_words(text: str) -> dict[str, str]:
-    """Words with a non-ASCII character by the form that remains when the wrong reading drops control characters.
+@lru_cache(maxsize=None)
+def _readings(written: str) -> tuple[dict[int, int], ...]:
+    """For each one-byte encoding, what the upper half of ``written`` reads as in it; characters without one are None."""
+    own = _bytes_of(written)
+    out = []
+    for wrong in ("latin_1", *SINGLE):
+        if wrong != written:
+            table = {}
+            for ch, byte in own.items():
+                read = bytes([byte]).decode(wrong, "ignore") or None
+                if read != ch:
+                    table[ord(ch)] = read
+            out.append(table)
+    return tuple(out)
+
+
+@lru_cache(maxsize=50_000)
+def _western_forms(word: str) -> frozenset:
+    """What a Western word reads as if it was written in one one-byte encoding and read in another."""
+    out = set()
+    if any(c.isascii() and c.isalpha() for c in word) and not any(c > "\u2fff" for c in word):
+        for written in WESTERN:
+            try:
+                word.encode(written)
+            except UnicodeEncodeError:
+                continue
+            out |= {word.translate(t) for t in _readings(written)}
+    return frozenset(f for f in out if f != word and not f.isascii() and all(c.isprintable() for c in f))
+
+
+def garbled_words(text: str) -> dict[str, tuple[str, int]]:
+    """Words with a non-ASCII character by what is left of them: their forms under every one-byte chain.
 
-    Such a form may keep one letter of a character, which is no token by itself; the word around it is.
+    One (marked 1) is what remains when the wrong reading drops control characters: it may keep one letter of a
+    character, which is no token by itself; the word around it is. The others (0) are those of words written in another
+    one-byte encoding.
     """
     out = {}
     for m in _WORD.finditer(text):
         word = _DIGITS.sub("0", m[0])
-        if not word.isascii() and not word.isalpha():
-            form = "".join(c for c in word.encode("utf-8").decode("latin-1") if not "\x7f" < c < "\xa0")
+        if word.isascii():
+            continue
+        for form in _western_forms(word):
+            out.setdefault(form, (word, 0))
+        if not word.isalpha():
+            form = "".join(c for c in word.encode("utf-8", "replace").decode("latin-1") if not "\x7f" < c < "\xa0")
             if form != word and len(form) >= 2:
-                out[form] = word
+                out[form] = (word, 1)
     return out
 
 
 def clean_words(tokens: DataFrame, least: int = 1) -> DataFrame:
-    """word, form, n: words of the clean corpus in at least ``least`` texts; form is null for single characters."""
-    counted = tokens.where(F.col("run").isin(WORD, PHRASE)).groupBy("run", F.col("unit").alias("word"), F.col("written").alias("form")).agg(F.sum("times").alias("n"))
-    return counted.where(F.col("n") >= least).select("word", F.when(F.col("run") == PHRASE, F.col("form")).alias("form"), "n")
+    """word, form, left, n: words of the clean corpus in at least ``least`` texts; form is null for single characters."""
+    counted = tokens.where(F.col("run").isin(WORD, PHRASE)).groupBy("run", F.col("unit").alias("word"), F.col("written").alias("form"), F.col("depth").alias("left")).agg(F.sum("times").alias("n"))
+    return counted.where(F.col("n") >= least).select("word", F.when(F.col("run") == PHRASE, F.col("form")).alias("form"), "left", "n")
 
 
 def form_table(words: DataFrame) -> DataFrame:
@@ -265,16 +352,19 @@ def form_table(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [("word", form, word, 1, n) for word, form, n in zip(pdf["word"], pdf["form"], pdf["n"]) if form is not None]
+            rows = [("word", form, word, left, n) for word, form, left, n in zip(pdf["word"], pdf["form"], pdf["left"], pdf["n"]) if form is not None]
             rows += [(right, unit, word, whole, n) for word, form, n in zip(pdf["word"], pdf["form"], pdf["n"]) if form is None for right, unit, whole in garbled_forms(word)]
             rows += [("own", word, word, 0, n) for word, form, n in zip(pdf["word"], pdf["form"], pdf["n"]) if form is None]
             yield pd.DataFrame(rows, columns=["written", "unit", "word", "whole", "n"])
 
     forms = words.mapInPandas(run, "written string, unit string, word string, whole int, n bigint")
-    # A form that clean texts hold too is garbled only if its original is far more frequent.
-    # Once is too little for that: a garbled text without other candidates counts its own form as clean.
-    own = words.where("form is not null and n >= 2").groupBy(F.lit("word").alias("written"), F.col("word").alias("unit")).agg(F.max("n").alias("own"))
-    forms = forms.join(own, ["written", "unit"], "left").where(F.col("own").isNull() | (F.col("n") > 3 * F.col("own"))).drop("own")
+    # A form that clean texts hold too is garbled only if its original is far more frequent. Once is too little for
+    # that: a garbled text without other candidates counts its own form as clean. But a word of another one-byte
+    # encoding, which may be a word itself, must then be more frequent than that.
+    own = words.where("form is not null").groupBy(F.lit("word").alias("written"), F.col("word").alias("unit")).agg(F.max("n").alias("own"))
+    forms = forms.join(own, ["written", "unit"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    chain = (F.col("written") == "word") & (F.col("whole") == 0)
+    forms = forms.where(((F.col("own") < 2) | (F.col("n") > 3 * F.col("own"))) & (~chain | (F.col("n") >= 2) & (F.col("n") > F.col("own")))).drop("own")
     best = forms.groupBy("written", "unit").agg(F.max(F.struct("whole", "n", "word")).alias("b"))
     return best.select("written", "unit", "b.word", "b.whole", "b.n")
 
@@ -304,7 +394,8 @@ def record_tokens(texts: DataFrame) -> DataFrame:
                 for line in _lines(text):
                     for c in candidates(line):
                         number += 1
-                        clean = clean and (c["right"] == "word" or c["depth"] == 0)
+                        # A single doubtful unit is no sign that a text is garbled.
+                        clean = clean and (c["right"] == "word" or c["depth"] == 0 or len(c["units"]) == 1 and c["units"][0][1] < 2)
                         units = [u for u in c["units"] if not u[0].isascii() or c["right"] == "word"] + [(x, 0, 0) for x in c.get("own", "")]
                         n_units = len(units) - len(c.get("own", ""))
                         for (unit, proof, cover), times in Counter(units).items():
@@ -316,13 +407,13 @@ def record_tokens(texts: DataFrame) -> DataFrame:
                     rows = []
                 if clean:
                     words.update(c for c in set(text) if c > "\x7f")
-                    phrases.update((word, form) for form, word in garbled_words(text).items())
+                    phrases.update((word, form, left) for form, (word, left) in garbled_words(text).items())
             if len(phrases) > 200_000:
-                rows += [("", "", 0, PHRASE, "", form, 0, 0, 0, word, 0, 0, n) for (word, form), n in phrases.items()]
+                rows += [("", "", 0, PHRASE, "", form, left, 0, 0, word, 0, 0, n) for (word, form, left), n in phrases.items()]
                 phrases.clear()
             yield pd.DataFrame(rows, columns=names)
         rows = [("", "", 0, WORD, "", "", 0, 0, 0, word, 0, 0, n) for word, n in words.items()]
-        rows += [("", "", 0, PHRASE, "", form, 0, 0, 0, word, 0, 0, n) for (word, form), n in phrases.items()]
+        rows += [("", "", 0, PHRASE, "", form, left, 0, 0, word, 0, 0, n) for (word, form, left), n in phrases.items()]
         yield pd.DataFrame(rows, columns=names)
 
     return texts.mapInPandas(run, TOKENS)
@@ -378,7 +469,9 @@ def restored_records(records: DataFrame) -> DataFrame:
     tokens = cut(record_tokens(texts))
     good = _verified(tokens, form_table(cut(clean_words(tokens))))
     by_text = good.groupBy("kind", "record_key", "text_hash").agg(F.collect_set(F.struct("run", "wrong", "written", "depth", "originals")).alias("runs"))
-    whole = texts.dropDuplicates(["kind", "record_key", "text_hash"]).join(by_text, ["kind", "record_key", "text_hash"])
+    by_text = cut(by_text)
+    few = texts.where(among(F.col("text_hash"), by_text.select("text_hash")))  # only texts that may be garbled are shuffled
+    whole = few.dropDuplicates(["kind", "record_key", "text_hash"]).join(by_text, ["kind", "record_key", "text_hash"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
