@@ -61,6 +61,17 @@ def _bytes_of(codec: str) -> dict[str, int]:
     return out
 
 
+#: Share of a stretch that verified tokens without proof must cover, by the encoding it was written in.
+COVERED = {"utf-8": 0.6, "gb18030": 0.75, "big5": 0.75}
+
+
+@lru_cache(maxsize=None)
+def _double_units(codec: str) -> frozenset:
+    """The two-byte sequences of a double-byte encoding that stand for characters."""
+    pairs = (bytes([a, b]) for a in range(0x81, 0xFF) for b in range(0x40, 0xFF))
+    return frozenset(p for p in pairs if len(p.decode(codec, "ignore")) == 1)
+
+
 @lru_cache(maxsize=None)
 def _run_of(codec: str) -> re.Pattern:
     return re.compile("[" + "".join(map(re.escape, _bytes_of(codec))) + "]{2,}")
@@ -90,12 +101,13 @@ def candidates(line: str) -> list[dict]:
                 # Scripts mixed in one word: letters of another alphabet right beside Latin ones.
                 beside = line[m.start() - 1 : m.start()] + line[m.end() : m.end() + 1]
                 mixed = beside.isascii() and any(c.isalpha() for c in beside)
-                out += _utf8_tokens(data, wrong, m.start(), m.end(), 1, mixed)
-                if len(run) >= 4 and (wrong not in _NON_LATIN or _case_breaks(run) >= 0.3 * len(run)):
+                utf8 = _utf8_tokens(data, wrong, m.start(), m.end(), 1, mixed)
+                out += utf8
+                # What reads as UTF-8 nearly whole is no double-byte text (of three characters, three in a thousand do).
+                if len(run) >= 4 and (wrong not in _NON_LATIN or _case_breaks(run) >= 0.3 * len(run)) and not (utf8 and len(run) >= 6 and utf8[0]["depth"] == 1 and sum(n for _, _, n in utf8[0]["units"]) >= 0.9 * len(run)):
                     for right in WRITTEN[1:]:
-                        pairs = [data[i : i + 2] for i in range(0, len(data) - 1, 2)]
-                        units = [(p.decode("latin-1"), 1, 2) for p in pairs if p[0] >= 0x81]
-                        if len(units) >= 2:
+                        units = [(u.decode("latin-1"), 1, 2) for u in (data[i : i + 2] for i in range(0, len(data) - 1, 2)) if u in _double_units(right)]
+                        if len(units) >= 2 and 2 * len(units) >= COVERED[right] * len(run):
                             out.append({"start": m.start(), "end": m.end(), "wrong": wrong, "right": right, "depth": 1, "chars": len(run), "units": units})
         out = _likeliest(out)
     for m in _WORD.finditer(line):
@@ -146,7 +158,9 @@ def _utf8_tokens(data: bytes, wrong: str, start: int, end: int, depth: int, mixe
         last = u.end()
     if not units or last == 0:
         return []
-    out = [{"start": start, "end": end, "wrong": wrong, "right": "utf-8", "depth": depth, "chars": len(data), "units": units}]
+    # Without proof a stretch needs two tokens and most of its characters.
+    able = any(proof == 2 for _, proof, _ in units) or len(units) >= 2 and sum(n for _, _, n in units) >= COVERED["utf-8"] * len(data)
+    out = [{"start": start, "end": end, "wrong": wrong, "right": "utf-8", "depth": depth, "chars": len(data), "units": units}] if able else []
     inner = "".join(text)
     if depth < DEPTH and len(inner) >= 2:
         read: set[bytes] = set()  # many encodings share the bytes of a stretch
@@ -330,7 +344,8 @@ def garbled_words(text: str) -> dict[str, tuple[str, int]]:
     out = {}
     for m in _WORD.finditer(text):
         word = _DIGITS.sub("0", m[0])
-        if word.isascii():
+        # A word of Chinese characters alone has its characters as tokens.
+        if word.isascii() or word[0] > "\u2fff" and not any(c < "\u2e80" for c in word):
             continue
         for form in _western_forms(word):
             out.setdefault(form, (word, 0))
@@ -394,8 +409,7 @@ def record_tokens(texts: DataFrame) -> DataFrame:
                 for line in _lines(text):
                     for c in candidates(line):
                         number += 1
-                        # A single doubtful unit is no sign that a text is garbled.
-                        clean = clean and (c["right"] == "word" or c["depth"] == 0 or len(c["units"]) == 1 and c["units"][0][1] < 2)
+                        clean = clean and (c["right"] == "word" or c["depth"] == 0)
                         units = [u for u in c["units"] if not u[0].isascii() or c["right"] == "word"] + [(x, 0, 0) for x in c.get("own", "")]
                         n_units = len(units) - len(c.get("own", ""))
                         for (unit, proof, cover), times in Counter(units).items():
@@ -436,9 +450,9 @@ def _verified(tokens: DataFrame, forms: DataFrame) -> DataFrame:
     good = (
         (F.col("written") == "word")
         | (weak & (F.col("wholes") == F.col("n_units")) & (F.col("often") * F.col("chars") >= 3 * F.col("own_often") * F.col("n_units")))
-        | (utf8 & single & ((F.col("proofs") >= 1) | ((F.col("hits") >= 2) & (F.col("covered") >= 0.6 * F.col("chars")))))
+        | (utf8 & single & ((F.col("proofs") >= 1) | ((F.col("hits") >= 2) & (F.col("covered") >= COVERED["utf-8"] * F.col("chars")))))
         | (utf8 & ~single & ~weak & (F.col("wholes") >= 0.6 * F.col("n_units")) & (F.col("wholes") >= F.least(F.lit(2), F.col("n_units"))))
-        | ((F.col("written").isin(*WRITTEN[1:])) & (F.col("hits") >= 2) & (F.col("covered") >= 0.75 * F.col("chars")))
+        | ((F.col("written").isin(*WRITTEN[1:])) & (F.col("hits") >= 2) & (F.col("covered") >= COVERED["gb18030"] * F.col("chars")))
     )
     return sums.where(good)
 
