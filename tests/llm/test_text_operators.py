@@ -234,6 +234,26 @@ def test_matching_end_to_end(spark):
     got = {(r[0], r[1]) for r in matching.match_entries(q, i, c, x, h).where("confidence >= 0.5").select("administrative_code", "geonameid").collect()}
     assert len(got & want) >= 0.9 * len(want) and len(got - want) == 0
     assert matching.match_entries(q.limit(0), i, c, x, h).count() == 0
+    with pytest.raises(ValueError):
+        matching._dictionary(h, 3)
+
+
+def test_sameness_is_transitive(spark):
+    """Twins of a centre share their odds; an entry's chances add up to one at most; no province meets every province."""
+    from pyspark.sql import functions as F
+
+    rows = [("a", "c", 1.0, 1.0, 0.2, 1.0, 0.3), ("b", "c", 1.0, 1.0, None, 1.0, None), ("b", "d", 0.3, 1.0, None, 1.0, None), ("e", "c", 1.0, 1.0, 4.0, 1.0, 60.0)]
+    v = matching._with_twins(spark.createDataFrame(rows, "entry string, centre string, name double, city double, near double, province double, km double"))
+    odds = F.when(F.col("km").isNull(), -1.0).when(F.col("km") < 2, 5.0).otherwise(-4.0)
+    p = {(r["entry"], r["centre"]): r["p"] for r in matching._posterior(v, odds).collect()}
+    assert p["a", "c"] > 0.8 and p["b", "c"] > 0.7 and p["e", "c"] < 0.1 and p["b", "c"] + p["b", "d"] <= 1
+    names = "id string, province string, core string, other boolean, abbreviated boolean, keys array<string>"
+    entries = spark.createDataFrame([("x", None, "changping", False, False, ["dchangping"])], names)
+    centres = spark.createDataFrame([("c", "11", "chang ping", False, False, ["dchangping"])], names)
+    points = spark.createDataFrame([], "id string, lon double, lat double")
+    kinds = spark.createDataFrame([("x", 1.0)], "entry string, rank double")
+    got = matching.pair_vectors(entries, centres, points, points, kinds).collect()
+    assert [(r["entry"], r["centre"], r["name"]) for r in got] == [("x", "c", 1.0)]
 
 
 # Leakage

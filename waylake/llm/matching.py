@@ -3,8 +3,10 @@
 Candidate pairs come from blocks: equal or nearly equal readings of the name in one province (one letter dropped on
 either side, or an abbreviation), and places close to a centre. A pair has a vector of similarities; two
 regularised Gaussians, of matched and of unmatched pairs, are fitted to all vectors by expectation-maximisation
-without labels. Centres are different cities, so an entry that is one of them can be no other: in every
-expectation step the chances of an entry's candidates and of "none of them" are made to add up to one.
+without labels. Sameness is transitive, which every expectation step enforces in both directions: entries that are the
+same as each other (the same name by a centre's, at the same place) are all that centre or none is, so they share their
+log odds; and centres are different cities, so an entry that is one of them can be no other: the chances of an entry's
+candidates and of "none of them" add up to one.
 """
 
 from __future__ import annotations
@@ -200,7 +202,11 @@ def pair_vectors(entries: DataFrame, centres: DataFrame, entry_points: DataFrame
     ``entries`` and ``centres`` are what ``named`` gives, the points are id, lon, lat, ``kinds`` is entry, rank:
     how far the entry's feature code speaks for a city.
     """
-    blocked = entries.select(F.col("id").alias("entry"), "province", F.explode("keys").alias("k")).join(centres.select(F.col("id").alias("centre"), "province", F.explode("keys").alias("k")), ["province", "k"]).select("entry", "centre")
+    own = entries.select(F.col("id").alias("entry"), "province", F.explode("keys").alias("k"))
+    others = centres.select(F.col("id").alias("centre"), "province", F.explode("keys").alias("k"))
+    blocked = own.join(others, ["province", "k"]).select("entry", "centre")
+    # An entry of no known province may be in any.
+    blocked = blocked.unionByName(own.where("province is null").drop("province").join(others.drop("province"), "k").select("entry", "centre"))
     close = within_distance(entry_points, centre_points, SIMILAR_KM, salts=4).select(F.col("point_id").alias("entry"), F.col("centre_id").alias("centre"))
     pairs = cut(blocked.unionByName(close).distinct())
     e = entries.select(F.col("id").alias("entry"), F.col("core").alias("ecore"), "other", "abbreviated", F.col("province").alias("eprovince"))
@@ -252,10 +258,23 @@ class Mixture:
         return density(1) - density(0)
 
 
+#: Entries this close to one centre whose names are equally like its name are the same place.
+TWIN_KM = 2.0
+
+
+def _with_twins(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with ``twin``: the same text for entries that must all be the centre, or none of them; null for others."""
+    alike = (F.col("name") >= 0.84) & (F.col("city") > 0.5) & (F.col("km").isNull() | (F.col("km") <= TWIN_KM))
+    return vectors.withColumn("twin", F.when(alike, F.concat_ws("|", F.round("name", 3), F.round("city", 3), "province")))
+
+
 def _posterior(vectors: DataFrame, odds: Column) -> DataFrame:
-    """``vectors`` with p: the chance of each pair, where those of an entry and of no match add up to one."""
-    scored = vectors.withColumn("o", F.exp(F.least(F.greatest(odds, F.lit(-60.0)), F.lit(60.0))))
-    return scored.withColumn("p", F.col("o") / (F.lit(1.0) + F.sum("o").over(Window.partitionBy("entry")))).drop("o")
+    """``vectors`` with p: the chance of each pair, where twins share their odds, and those of an entry and of no match
+    add up to one."""
+    scored = vectors.withColumn("l", F.least(F.greatest(odds, F.lit(-60.0)), F.lit(60.0)))
+    shared = scored.where("twin is not null").groupBy("centre", "twin").agg(F.avg("l").alias("shared"))
+    scored = scored.join(shared, ["centre", "twin"], "left").withColumn("o", F.exp(F.coalesce("shared", "l")))
+    return scored.withColumn("p", F.col("o") / (F.lit(1.0) + F.sum("o").over(Window.partitionBy("entry")))).drop("o", "l", "shared")
 
 
 #: Added to the variances: similarities of 0 or 1 would else have none.
@@ -296,17 +315,34 @@ def _fit(weighted: DataFrame) -> Mixture:
     return Mixture(min(max((r["w1"] or 0.0) / n, 1e-4), 1 - 1e-4), means, covariances)
 
 
-def match_posteriors(vectors: DataFrame, rounds: int = 8) -> DataFrame:
-    """``vectors`` with ``confidence``, the chance that entry and centre are one city, after ``rounds`` of EM.
+def _change(a: Mixture, b: Mixture) -> float:
+    """The largest change of a share, a mean or a covariance."""
+    return max(abs(a.share - b.share), float(np.abs(a.means - b.means).max()), float(np.abs(a.covariances - b.covariances).max()))
 
-    The first weights only say that matched pairs are alike: similar names, of a city, close by if that is known.
+
+def match_posteriors(vectors: DataFrame, tolerance: float = 0.005, most_rounds: int = 200) -> DataFrame:
+    """``vectors`` with ``confidence``, the chance that entry and centre are one city.
+
+    Expectation and maximisation alternate until no parameter changes by more than ``tolerance``; a fit that has not
+    settled after ``most_rounds`` is an error. The first weights only say that matched pairs are alike: similar names,
+    of a city, close by if that is known.
     """
     start = F.when((F.col("name") >= 0.84) & (F.col("city") > 0.5) & (F.col("province") > 0.5) & (F.coalesce("near", F.lit(1.0)) <= math.log1p(5.0)), 0.95).otherwise(0.01)
-    vectors = cut(vectors.repartition("entry"))
+    vectors = cut(_with_twins(vectors).repartition("entry"))
     model = _fit(vectors.withColumn("p", start))
-    for _ in range(rounds):
-        model = _fit(_posterior(vectors, model.log_odds()))
-    return _posterior(vectors, model.log_odds()).withColumnRenamed("p", "confidence")
+    for _ in range(most_rounds):
+        before, model = model, _fit(_posterior(vectors, model.log_odds()))
+        if _change(before, model) <= tolerance:
+            return _posterior(vectors, model.log_odds()).withColumnRenamed("p", "confidence")
+    raise ValueError(f"the mixture has not settled after {most_rounds} rounds")
+
+
+def _dictionary(rows: DataFrame, most: int) -> list:
+    """All rows of a table that is small by its nature; an error if it is not."""
+    out = rows.distinct().limit(most + 1).collect()
+    if len(out) > most:
+        raise ValueError(f"a dictionary of more than {most} rows")
+    return out
 
 
 def match_entries(queue: DataFrame, inventory: DataFrame, centres: DataFrame, crosswalk: DataFrame, hanzi: DataFrame, restored: DataFrame | None = None) -> DataFrame:
@@ -317,8 +353,8 @@ def match_entries(queue: DataFrame, inventory: DataFrame, centres: DataFrame, cr
     Repeated rows count once, an empty table gives an empty result. ``hanzi`` and ``crosswalk`` are dictionaries of
     characters and provinces, which bounds their size.
     """
-    reading = {r[0]: plain_latin(r[1]) for r in hanzi.select("hanzi", "reading").where("hanzi is not null and reading is not null").distinct().limit(200_000).collect()}
-    known = [r for r in crosswalk.select("geonames_admin1_code", "official_code6", "official_admin_name", "geonames_name").distinct().limit(10_000).collect() if r[0] and r[1]]
+    reading = {r[0]: plain_latin(r[1]) for r in _dictionary(hanzi.select("hanzi", "reading").where("hanzi is not null and reading is not null"), 200_000)}
+    known = [r for r in _dictionary(crosswalk.select("geonames_admin1_code", "official_code6", "official_admin_name", "geonames_name"), 10_000) if r[0] and r[1]]
     code_of = {r[0]: r[1][:2] for r in known}
     by_name: dict[str, str] = {}
     for r in known:
