@@ -47,6 +47,23 @@ def _plain_sql(x: str) -> str:
     return rf"trim(regexp_replace({x}, '[\s\x{{00a0}}\x{{0085}}\x{{3000}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}]+', ' ', 'g'))"
 
 
+#: The pages without their closed fenced blocks, as far as a regular expression without back references goes.
+_UNFENCED = r"regexp_replace(regexp_replace(markdown, '(?ms)^ {0,3}```[^\n]*\n.*?^ {0,3}```+[ \t]*$', '', 'g'), '(?ms)^ {0,3}~~~[^\n]*\n.*?^ {0,3}~~~+[ \t]*$', '', 'g')"
+
+
+def _card_sql(x: str) -> str:
+    x = rf"regexp_replace({x}, '!?\[\[(?:[^\]|]+\|)?\s*([^\]|]*?)\s*\]\]', '\1', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '(?i)<br\s*/?\s*>|\\\s*$', ' ', 'g'), '<[^>]+>', '', 'g')"
+    x = rf"regexp_replace({x}, '^[>\s]*[-*+]\s+(?:\[[ xX]\]\s*)?|^\[[ xX]\]\s*', '')"
+    x = rf"regexp_replace(regexp_replace(regexp_replace({x}, '[`*_~]', '', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g')"
+    return rf"trim(regexp_replace({x}, '[\s\x{{00a0}}\x{{0085}}\x{{3000}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}]+', ' ', 'g'))"
+
+
+_LINK_SQL = r"""'(?i)\[([^\]]+)\]\((https?://[^)\s]+)(?:\s+["''][^"'']*["''])?\)'"""
+_BODY = r"regexp_replace(markdown, '(?s)\A---\n.*?\n---\n', '')"
+
+
 def _callout_sql(label: str) -> str:
     t = r"regexp_replace(regexp_replace(markdown, '(?i)<br\s*/?\s*>', chr(10), 'g'), '(?m)^>\s?', '', 'g')"
     return _plain_sql(rf"regexp_extract({t}, '(?m)^(?:[-*+]\s+)?(?:\*\*|__)?{label}(?:\*\*|__)?\s*[：:]\s*(.+)$', 1)")
@@ -76,20 +93,14 @@ def str08_plain_title(spark, root):
     return _pages(spark, root).where("title is not null").select("guide_id", text.plain_summary(F.col("title")).alias("plain_title")).distinct()
 
 
-@query("str09_plain_lines")
+@query("str09_plain_lines", f"SELECT guide_id, line_no, {_card_sql('line')} AS plain_line FROM (SELECT guide_id, unnest(string_split(markdown, chr(10))) AS line, unnest(range(len(string_split(markdown, chr(10))))) AS line_no FROM {_P})")
 def str09_plain_lines(spark, root):
     """Every line of every page as plain text."""
     lines = _pages(spark, root).select("guide_id", F.posexplode(F.split("markdown", "\n")).alias("line_no", "line"))
     return lines.select("guide_id", "line_no", text.plain_card(F.col("line")).alias("plain_line"))
 
 
-@query("str11_matching_keys", "SELECT DISTINCT city, regexp_replace(lower(city), '[^\\p{L}\\p{N}]+', '', 'g') AS city_key FROM guide_page WHERE city IS NOT NULL AND NOT regexp_matches(city, '[\\x{00a0}-\\x{036f}\\x{ff00}-\\x{ffef}]')")
-def str11_matching_keys(spark, root):
-    c = table(spark, root, "guide_page").select("city").where("city is not null").where(~F.col("city").rlike(r"[ -ͯ＀-￯]")).distinct()
-    return c.select("city", text.matching_key(F.col("city")).alias("city_key"))
-
-
-@query("str11_all_matching_keys")
+@query("str11_all_matching_keys", r"SELECT DISTINCT city, regexp_replace(lower(city), '[^\p{L}\p{N}]+', '', 'g') AS city_key FROM guide_page WHERE city IS NOT NULL")
 def str11_all_matching_keys(spark, root):
     """The key of every city, also of those that NFKC changes."""
     return table(spark, root, "guide_page").select("city").where("city is not null").distinct().select("city", text.matching_key(F.col("city")).alias("city_key"))
@@ -105,13 +116,14 @@ def str15_suggested_stay(spark, root):
     return _pages(spark, root).select("guide_id", text.suggested_stay(F.col("markdown")).alias("stay"))
 
 
-@query("str16_first_prose")
+@query("str16_first_prose", rf"SELECT guide_id, coalesce({_plain_sql("b")}, '') AS summary FROM (SELECT guide_id, list_filter(list_transform(regexp_split_to_array(replace({_BODY}, chr(13) || chr(10), chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:#{{1,6}}\s|>|```|~~~|\||[-*+]\s|\d+[.)]\s)'))[1] AS b FROM {_P})")
 def str16_first_prose(spark, root):
     """The summary of each page: its first paragraph of prose after the front matter."""
     return _pages(spark, root).select("guide_id", text.first_prose(text.without_front_matter(F.col("markdown"))).alias("summary"))
 
 
-@query("str18_web_links")
+@query("str18_web_links", rf"""SELECT guide_id, coalesce(nullif({_card_sql("l.label")}, ''), '官方入口') AS label, l.href AS href FROM (SELECT guide_id, unnest(list_filter(list_transform(list_zip(ls, hs), lambda x, i: {{'label': x[1], 'href': x[2], 'first': list_position(hs, x[2]) = i}}), lambda y: y.first)) AS l
+FROM (SELECT guide_id, regexp_extract_all(markdown, {_LINK_SQL}, 1) AS ls, regexp_extract_all(markdown, {_LINK_SQL}, 2) AS hs FROM {_P}))""")
 def str18_web_links(spark, root):
     """label and href of every link to the web."""
     return _pages(spark, root).select("guide_id", F.explode(text.web_links(F.col("markdown"))).alias("l")).select("guide_id", "l.label", "l.href")
@@ -136,7 +148,7 @@ def str22_markers(spark, root):
     return _pages(spark, root).select("guide_id", found.alias("has_marker"))
 
 
-@query("str23_placeholders")
+@query("str23_placeholders", " UNION ALL ".join(f"SELECT guide_id, '{n}' AS placeholder FROM {_P} WHERE regexp_matches(markdown, '{p.replace('(?iU)', '(?i)')}')" for n, p in PLACEHOLDERS.items()))
 def str23_placeholders(spark, root):
     """guide_id, placeholder of every pattern a page holds."""
     hits = F.array(*(F.when(F.col("markdown").rlike(p), F.lit(n)) for n, p in PLACEHOLDERS.items()))
@@ -155,14 +167,7 @@ def doc03_sections(spark, root):
     return docs.page_sections(_pages(spark, root))
 
 
-
-@query("doc03_section_counts", r"SELECT guide_id, len(list_filter(string_split(markdown, chr(10)), lambda x: regexp_matches(x, '^ {0,3}##[ \t]+\S'))) AS n_sections FROM " + _P + " WHERE NOT contains(markdown, '```') AND NOT contains(markdown, '~~~') AND regexp_matches(markdown, '(?m)^ {0,3}##[ \\t]+\\S')")
-def doc03_section_counts(spark, root):
-    plain = _pages(spark, root).where("not contains(markdown, '```') and not contains(markdown, '~~~')")
-    return docs.page_sections(plain).groupBy("guide_id").agg(F.count("*").alias("n_sections"))
-
-
-@query("doc03_all_section_counts")
+@query("doc03_all_section_counts", f"SELECT guide_id, n_sections FROM (SELECT guide_id, len(list_filter(string_split({_UNFENCED}, chr(10)), lambda x: regexp_matches(x, '^ {{0,3}}##[ \t]+[^ \t]'))) AS n_sections FROM {_P}) WHERE n_sections > 0")
 def doc03_all_section_counts(spark, root):
     """Number of H2 sections of every page that has some, pages with fenced blocks too."""
     return docs.page_sections(_pages(spark, root)).groupBy("guide_id").agg(F.count("*").alias("n_sections"))
@@ -183,7 +188,7 @@ def doc22_outline(spark, root):
     return docs.page_outline(_pages(spark, root))
 
 
-@query("doc23_first_h1")
+@query("doc23_first_h1", r"SELECT guide_id, nullif(list_position(list_transform(string_split(replace(markdown, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_matches(x, '^ {0,3}#(?:[ \t]|$)')), true), 0) AS h1_line FROM " + _P)
 def doc23_first_h1(spark, root):
     return docs.page_first_h1(_pages(spark, root))
 
@@ -212,7 +217,12 @@ def agg23_card_totals(spark, root):
     return docs.page_cards(_pages(spark, root)).groupBy("section").agg(F.count("*").alias("n_cards"), F.count_distinct("guide_id").alias("n_guides"), F.max(F.size("badges")).alias("most_badges"), F.max(F.size("fields")).alias("most_fields"))
 
 
-@query("ord11_heading_rules")
+@query("ord11_heading_rules", f"""WITH h AS (SELECT guide_id, list_transform(list_filter(string_split(markdown, chr(10)), lambda x: starts_with(x, '## ')), lambda x: trim(x[4:], ' ')) AS h FROM {_P}), r AS (SELECT {REQUIRED_HEADINGS} AS r),
+q AS (SELECT guide_id, h, r, list_filter(list_transform(r, lambda x: coalesce(list_position(h, x), 0)), lambda x: x > 0) AS places FROM h, r)
+SELECT guide_id, 'missing' AS problem, x AS heading FROM (SELECT guide_id, h, unnest(r) AS x FROM q) WHERE NOT list_contains(h, x)
+UNION ALL SELECT guide_id, 'repeated', x FROM (SELECT guide_id, h, unnest(r) AS x FROM q) WHERE len(list_filter(h, lambda y: y = x)) > 1
+UNION ALL SELECT guide_id, 'unexpected', x FROM (SELECT guide_id, r, unnest(h) AS x FROM q) WHERE NOT list_contains(r, x)
+UNION ALL SELECT guide_id, 'order', '' FROM q WHERE len(places) = len(r) AND list_sort(places) <> places""")
 def ord11_heading_rules(spark, root):
     """Required headings: missing, repeated, out of order, and unexpected ones."""
     required = F.array(*(F.lit(h) for h in REQUIRED_HEADINGS))
@@ -244,7 +254,7 @@ def dq14_dialogue_headings(spark, root):
     return _pages(spark, root).select("guide_id", F.explode(F.split("markdown", "\n")).alias("line")).where(F.col("line").rlike(DIALOGUE_HEADING))
 
 
-@query("dq15_missing_keys")
+@query("dq15_missing_keys", r"SELECT guide_id, k AS missing_key FROM (SELECT guide_id, regexp_extract(markdown, '(?s)\A---\n(.*?)\n---\n', 1) AS m FROM " + _P + r") CROSS JOIN (SELECT unnest(" + str(REQUIRED_KEYS) + r") AS k) WHERE m <> '' AND NOT regexp_matches(m, '(?m)^' || k || ':[ \t]*[^ \t\n]') OR m <> '' AND regexp_matches(m, '(?m)^' || k || ':[ \t]*[\x22\x27]+[ \t]*$')")
 def dq15_missing_keys(spark, root):
     """Required front-matter keys that a page lacks or leaves empty."""
     fm = _pages(spark, root).select("guide_id", text.front_matter(F.col("markdown")).alias("fm")).where("fm is not null")

@@ -282,23 +282,14 @@ def agg22_content_hash(spark, root):
     return table(spark, root, "guide_page").where("markdown is not null").select("guide_id", F.sha2("markdown", 256).alias("content_sha256"), F.octet_length("markdown").cast("bigint").alias("n_bytes"))
 
 
-@query("ord01_numeric_order", "SELECT geonameid, row_number() OVER (ORDER BY CAST(geonameid AS BIGINT), geonameid) AS position FROM (SELECT DISTINCT geonameid FROM cn_inventory WHERE regexp_full_match(geonameid, '[0-9]{1,18}')) ORDER BY position LIMIT 100")
-def ord01_numeric_order(spark, root):
-    ids = table(spark, root, "cn_inventory").select("geonameid").where(F.col("geonameid").rlike("^[0-9]{1,18}$")).distinct()
-    top = ids.orderBy(F.col("geonameid").cast("long"), "geonameid").limit(100)  # a report of the first hundred
-    from pyspark.sql.window import Window
-
-    return top.withColumn("position", F.row_number().over(Window.orderBy(F.col("geonameid").cast("long"), "geonameid")).cast("bigint"))
-
-
-@query("ord01_numeric_positions")
+@query("ord01_numeric_positions", "SELECT geonameid, row_number() OVER (ORDER BY length(ltrim(geonameid, '0')), ltrim(geonameid, '0'), geonameid) AS position FROM (SELECT DISTINCT geonameid FROM cn_inventory WHERE regexp_full_match(geonameid, '[0-9]+'))")
 def ord01_numeric_positions(spark, root):
     """Every id of digits, of any length, with its position in numeric order over the whole table."""
     ids = table(spark, root, "cn_inventory").select("geonameid").where(F.col("geonameid").rlike("^[0-9]+$")).distinct()
     return relational.numeric_positions(ids, "geonameid")
 
 
-@query("ord03_locale_order")
+@query("ord03_locale_order", "SELECT admin_area, city, guide_id FROM guide_page")
 def ord03_locale_order(spark, root):
     """Areas and cities in the order of a Chinese dictionary (pinyin), whole table."""
     return table(spark, root, "guide_page").select("admin_area", "city", "guide_id").orderBy(F.expr("admin_area COLLATE zh"), F.expr("city COLLATE zh"), "guide_id")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from waylake.plans import documents, feeds, inventory, places, streams
+from waylake.plans import builds, documents, feeds, inventory, places, streams
 
-MODULES = [feeds, inventory, documents, places, streams]
+MODULES = [feeds, inventory, documents, places, streams, builds]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
