@@ -207,7 +207,7 @@ def pair_vectors(entries: DataFrame, centres: DataFrame, entry_points: DataFrame
     blocked = own.join(others, ["province", "k"]).select("entry", "centre")
     # An entry of no known province may be in any.
     blocked = blocked.unionByName(own.where("province is null").drop("province").join(others.drop("province"), "k").select("entry", "centre"))
-    close = within_distance(entry_points, centre_points, SIMILAR_KM, salts=4).select(F.col("point_id").alias("entry"), F.col("centre_id").alias("centre"))
+    close = within_distance(entry_points, centre_points, SIMILAR_KM).select(F.col("point_id").alias("entry"), F.col("centre_id").alias("centre"))
     pairs = cut(blocked.unionByName(close).distinct())
     e = entries.select(F.col("id").alias("entry"), F.col("core").alias("ecore"), "other", "abbreviated", F.col("province").alias("eprovince"))
     c = centres.select(F.col("id").alias("centre"), F.col("core").alias("ccore"), F.col("province").alias("cprovince"))
