@@ -4,6 +4,8 @@ import json
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from waylake.operators import relational as rel
 from waylake.operators import spatial as sp
 
@@ -82,3 +84,14 @@ def test_nearest_k_is_exact(spark):
         best = sorted((km(x[1:], y[1:]), y[0]) for y in t if y[0] != x[0])[:3]
         mine = [i for _, i in sorted(got[x[0]])]
         assert len(mine) == 3 and all(abs(km(x[1:], next(y[1:] for y in t if y[0] == i)) - d) < 1e-6 for i, (d, _) in zip(mine, best))
+
+
+def test_crowded_cells_are_dealt(spark):
+    points = spark.createDataFrame([(str(i), 100.0 + i % 7 / 1e5, 30.0) for i in range(300)], "id string, lon double, lat double")
+    centres = spark.createDataFrame([("c", 100.0, 30.0), ("d", 100.001, 30.0)], "id string, lon double, lat double")
+    assert sp.within_distance(points, centres, 2.0, per_task=10).count() == sp.within_distance(points, centres, 2.0).count() == 600
+    square = '{"type": "Polygon", "coordinates": [[[99, 29], [101, 29], [101, 31], [99, 31], [99, 29]]]}'
+    regions = spark.createDataFrame([("r", square)], "code string, boundary string")
+    assert sp.containing_regions(points, regions, per_task=10).count() == 300
+    salted, repeated = sp.dealt(points.withColumn("k", F.lit(1)), centres.withColumn("k", F.lit(1)), ["k"], F.col("id"), 10)
+    assert salted.select("salt").distinct().count() == 30 and repeated.count() == 60

@@ -51,7 +51,24 @@ def _cells_in(band: Column, step: float) -> Column:
     return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / step)).cast("long")
 
 
-def within_distance(points: DataFrame, centres: DataFrame, km: float, salts: int = 4) -> DataFrame:
+#: Rows of the larger side that a task of a spatial join should get of one cell.
+PER_TASK = 50_000
+
+
+def dealt(rows: DataFrame, others: DataFrame, keys: list[str], by: Column, per_task: int = PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``salt``: cells with more than ``per_task`` rows are dealt to as many salts as that needs.
+
+    ``others`` is repeated for each salt of its cell. Only crowded cells are sent to the tasks: at most one row for each
+    ``per_task`` rows.
+    """
+    crowded = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > per_task).select(*keys, F.ceil(F.col("_n") / per_task).alias("_salts")))
+    one = F.coalesce("_salts", F.lit(1).cast("long"))
+    salted = rows.join(crowded, keys, "left").withColumn("salt", F.pmod(F.xxhash64(by), one)).drop("_salts")
+    repeated = others.join(crowded, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("_salts")
+    return salted, repeated
+
+
+def within_distance(points: DataFrame, centres: DataFrame, km: float, per_task: int = PER_TASK) -> DataFrame:
     """point_id, centre_id, distance_km of each point and centre (both id, lon, lat) at most ``km`` apart.
 
     All pairs that qualify come out, across the antimeridian and at the poles too; repeated rows give repeated
@@ -62,7 +79,7 @@ def within_distance(points: DataFrame, centres: DataFrame, km: float, salts: int
     step = 2 * reach  # a circle meets two bands, and in each two cells, on average
     p = points.select(F.col("id").alias("point_id"), F.col("lon").alias("plon"), F.col("lat").alias("plat"), _band(F.col("lat"), step).alias("band"))
     p = p.withColumn("n", _cells_in(F.col("band"), step))
-    p = p.withColumn("cell", F.pmod(F.floor((F.col("plon") + 180.0) / 360.0 * F.col("n")), F.col("n"))).withColumn("salt", F.pmod(F.xxhash64("point_id"), F.lit(salts)))
+    p = p.withColumn("cell", F.pmod(F.floor((F.col("plon") + 180.0) / 360.0 * F.col("n")), F.col("n")))
     c = centres.select(F.col("id").alias("centre_id"), F.col("lon").alias("clon"), F.col("lat").alias("clat"))
     c = c.withColumn("band", F.explode(F.sequence(_band(F.greatest(F.col("clat") - reach, F.lit(-90.0)), step), _band(F.least(F.col("clat") + reach, F.lit(90.0)), step))))
     c = c.withColumn("n", _cells_in(F.col("band"), step))
@@ -71,8 +88,9 @@ def within_distance(points: DataFrame, centres: DataFrame, km: float, salts: int
     sideways = F.when(F.abs("clat") + reach >= 90.0, F.lit(180.0)).otherwise(sideways)
     first = F.floor((F.col("clon") - sideways + 180.0) / 360.0 * F.col("n"))
     last = F.least(F.floor((F.col("clon") + sideways + 180.0) / 360.0 * F.col("n")), first + F.col("n") - 1)
-    c = c.withColumn("cell", F.explode(F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.col("n"))))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    met = p.join(c.drop("n"), ["band", "cell", "salt"])
+    c = c.withColumn("cell", F.explode(F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.col("n")))))
+    p, c = dealt(p, c.drop("n"), ["band", "cell"], F.col("point_id"), per_task)
+    met = p.join(c, ["band", "cell", "salt"])
     met = met.withColumn("distance_km", haversine_km(F.col("plon"), F.col("plat"), F.col("clon"), F.col("clat")))
     return met.where(F.col("distance_km") <= km).select("point_id", "centre_id", "distance_km")
 
@@ -162,18 +180,17 @@ def region_slabs(regions: DataFrame, x_width: float = 0.25, y_width: float = 4.0
     return regions.select("code", "boundary").where("code is not null").mapInPandas(run, "bx bigint, by bigint, code string, part int, x0 double, x1 double, lo array<double>, hi array<double>")
 
 
-def containing_regions(points: DataFrame, regions: DataFrame, x_width: float = 0.25, y_width: float = 4.0, salts: int = 8) -> DataFrame:
+def containing_regions(points: DataFrame, regions: DataFrame, x_width: float = 0.25, y_width: float = 4.0, per_task: int = PER_TASK) -> DataFrame:
     """point_id, code of each point (id, lon, lat) and region (code, boundary as GeoJSON) that contains it.
 
     Planar in longitude and latitude; holes are outside. A point on a left or lower side is inside, on a right or
     upper side outside. A boundary that is no polygon contains nothing; so does an empty table.
     """
-    slabs = region_slabs(regions, x_width, y_width).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     p = points.select(
         F.col("id").alias("point_id"), "lon", "lat",
         F.floor(F.col("lon") / x_width).cast("long").alias("bx"), F.floor(F.col("lat") / y_width).cast("long").alias("by"),
-        F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"),
     )
+    p, slabs = dealt(p, region_slabs(regions, x_width, y_width), ["bx", "by"], F.col("point_id"), per_task)
     met = p.join(slabs, ["bx", "by", "salt"]).where("lon >= x0 and lon < x1")
     # Binary search for the number of edges at or below the point: as many halvings as the edges need.
     share = (F.col("lon") - F.col("x0")) / (F.col("x1") - F.col("x0"))

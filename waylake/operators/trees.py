@@ -86,18 +86,20 @@ def cities_of(nodes: DataFrame) -> DataFrame:
     return c.select("administrative_code", "name", "city_level", F.col("type").alias("source_type"), F.col("source").alias("province"), F.coalesce("prefecture_code", F.lit("")).alias("prefecture_administrative_code"), F.coalesce("prefecture_name", F.lit("")).alias("prefecture_name"), problem.alias("problem"))
 
 
-def walk_edges(edges: DataFrame, root: str, most: int = 64) -> DataFrame:
-    """node, depth, path of all nodes below ``root``; ``edges`` is parent_key, key, child, key and parent_key being unique.
+def walk_edges(edges: DataFrame, root: str) -> DataFrame:
+    """node, depth, path of all nodes below ``root``, however deep; ``edges`` is parent_key, key, child.
 
-    A level is one join; the levels' tables are cut from their lineage, so depth does not deepen the plan.
+    A level is one join; the levels' tables are cut from their lineage, so depth does not deepen the plan. An edge back
+    to a node above is not followed, so a walk over edges with a circle ends too.
     """
     spark = edges.sparkSession
-    edges = cut(edges.select("parent_key", "key", "child"))
-    level = spark.createDataFrame([(root, root, root)], "key string, node string, path string")
+    edges = cut(edges.select("parent_key", F.col("key").alias("below"), "child"))
+    level = spark.createDataFrame([(root, root, root, [root])], "key string, node string, path string, above array<string>")
     out = level.select("node", F.lit(0).alias("depth"), "path")
-    for depth in range(1, most):
-        level = cut(level.join(edges.withColumnRenamed("key", "below"), level["key"] == edges["parent_key"]).select(F.col("below").alias("key"), F.col("child").alias("node"), F.concat("path", F.lit("/"), "child").alias("path")))
-        if level.isEmpty():
-            break
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        met = level.join(edges, (level["key"] == edges["parent_key"]) & ~F.array_contains("above", F.col("below")))
+        level = cut(met.select(F.col("below").alias("key"), F.col("child").alias("node"), F.concat("path", F.lit("/"), "child").alias("path"), F.concat("above", F.array("below")).alias("above")))
         out = out.unionByName(level.select("node", F.lit(depth).alias("depth"), "path"))
     return out

@@ -89,12 +89,13 @@ def gazetteer(spark: SparkSession, path: str, dataset: str | None = None) -> tup
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("line_id", "reason")
 
 
-def csv_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def csv_table(spark: SparkSession, path: str, columns: list[str] | None = None, line_breaks: bool = True) -> DataFrame:
     """A CSV with header as text columns: missing is the empty text, quoted line breaks are kept, empty rows dropped.
 
-    Short rows are filled up, extra cells ignored. With ``columns`` only these are read.
+    Short rows are filled up, extra cells ignored. With ``columns`` only these are read. Without ``line_breaks`` in
+    quoted cells a large file is read by many tasks; with them one task reads a file.
     """
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8", enforceSchema=True)
+    df = spark.read.csv(path, header=True, multiLine=line_breaks, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8", enforceSchema=True)
     names = {c: c.lstrip("﻿").strip() for c in df.columns}
     df = df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in names.items()))
     df = df.where(F.concat(*(F.trim(F.col(f"`{c}`")) for c in df.columns)) != "")
@@ -129,17 +130,19 @@ def gzip_documents(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for name, content in zip(pdf["path"], pdf["content"]):
+                content = bytes(content)
+                row = [name, hashlib.sha256(content).hexdigest(), None, None]
                 try:
-                    data = gzip.decompress(bytes(content))
-                    rows.append((name, hashlib.sha256(data).hexdigest(), data.decode("utf-8")))
+                    data = gzip.decompress(content)
+                    row[2:] = hashlib.sha256(data).hexdigest(), data.decode("utf-8")
                 except (OSError, EOFError, UnicodeDecodeError, ValueError):
-                    rows.append((name, None, None))
-            yield pd.DataFrame(rows, columns=["path", "payload_sha256", "payload"])
+                    row[2:] = None, None
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=["path", "archive_sha256", "payload_sha256", "payload"])
 
-    files = spark.read.format("binaryFile").load(path)
-    hashes = files.select("path", F.sha2("content", 256).alias("archive_sha256"))
-    payloads = files.select("path", "content").mapInPandas(run, "path string, payload_sha256 string, payload string")
-    return hashes.join(payloads, "path").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), "archive_sha256", "payload_sha256", "payload")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    read = files.mapInPandas(run, "path string, archive_sha256 string, payload_sha256 string, payload string")
+    return read.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), "archive_sha256", "payload_sha256", "payload")
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
