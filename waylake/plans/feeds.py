@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waylake.operators import raw_lines, snapshot_diff, spatial
-from waylake.session import table
+from waylake.session import cut, table
 
 NEAR_KM = 2.0
 
@@ -38,7 +38,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Places at most 2 km from a centre, and survey regions that contain a place."""
-    places = spatial.located(table(spark, root, "cn_inventory"), "geonameid")
+    places = cut(spatial.located(table(spark, root, "cn_inventory"), "geonameid"))  # coordinates are read from text once
     centres = spatial.located(table(spark, root, "cn_legal_city_centers"), "administrative_code").distinct()
     near = spatial.within_distance(places, centres, NEAR_KM).select(F.lit("near").alias("match_kind"), F.col("point_id").alias("geonameid"), F.col("centre_id").alias("code"))
     regions = table(spark, root, "survey_region").select(F.col("region_code").alias("code"), "boundary")
