@@ -383,6 +383,6 @@ def match_entries(queue: DataFrame, inventory: DataFrame, centres: DataFrame, cr
     kinds = queue.groupBy(F.trim("geonameid").alias("entry")).agg(F.max(F.when(F.upper(F.trim("feature_code")).isin("PPLX", "PPLL", "PPLA4"), 0.4).otherwise(1.0)).alias("rank"))
     # Whole degrees (0, 0 among them) place a city no nearer than fifty kilometres: as good as none.
     exact = places.where(~(F.col("longitude").rlike(r"^\s*-?[0-9]+\s*$") & F.col("latitude").rlike(r"^\s*-?[0-9]+\s*$")))
-    vectors = pair_vectors(entry_names, centre_names, located(exact, "id"), located(c, "id"), kinds, frozenset(reading.values()))
+    vectors = pair_vectors(entry_names, centre_names, cut(located(exact, "id")), cut(located(c, "id")), kinds, frozenset(reading.values()))
     out = match_posteriors(vectors)
     return out.select(F.col("centre").alias("administrative_code"), F.col("entry").alias("geonameid"), "confidence", "name", "city", "near", "province", "km")
